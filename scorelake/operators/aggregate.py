@@ -40,10 +40,10 @@ def breakdowns(
 ) -> DataFrame:
     """``scored`` is wide (one row per sample). ``keys`` maps a meta column to whether it
     holds a list. One row per (run, key, group, metric) with the group's size and mean."""
-    labels = F.flatten(F.array(*[
-        F.transform(group_values(F.col(k), is_array), lambda v, k=k: F.struct(F.lit(k).alias("key"), v.alias("group")))
-        for k, is_array in keys.items()
-    ]))
+    def labelled(key: str, is_array: bool) -> Column:
+        return F.transform(group_values(F.col(key), is_array), lambda v: F.struct(F.lit(key).alias("key"), v.alias("group")))
+
+    labels = F.flatten(F.array(*[labelled(k, is_array) for k, is_array in keys.items()]))
     tall = scored.select(*run, F.explode(labels).alias("_g"), *metrics)
     wide = tall.groupBy(*run, F.col("_g.key").alias("group_key"), F.col("_g.group").alias("group_value")).agg(
         F.count("*").alias("n"), *[F.avg(m).alias(m) for m in metrics]

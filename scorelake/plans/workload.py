@@ -34,6 +34,32 @@ DERIVED: dict[str, str] = {
                CASE WHEN doc_id % 13 = 0 THEN 'length' WHEN doc_id % 17 = 0 THEN NULL ELSE 'stop' END AS finish_reason,
                n_chars % 900 AS prompt_tokens, n_chars % 700 AS completion_tokens, doc_id % 3 + 1 AS attempts
         FROM (SELECT *, {EACH:0,1,2,3} AS k FROM {documents}) x""",
+    "word_answers": """
+        SELECT doc_id AS sample_id, k, text AS reference,
+               CASE k WHEN 1 THEN replace(replace(replace(text, ' the ', ' '), ' la ', ' '), ' die ', ' ')
+                      WHEN 2 THEN replace(text, 'e', '¤') ELSE text END AS output
+        FROM (SELECT *, {EACH:0,1,2} AS k FROM {documents}) x""",
+    # Latin letters written as Devanagari ones, so syllable units are many characters. Model 0
+    # writes digits the Latin way, model 1 drops words, model 2 writes one vowel sign as
+    # another that no reference has.
+    "devanagari": """
+        SELECT sample_id, k, translate(lower(reference), 'bcdfghjklmnpqrstvwxyzaeiou0123456789',
+                   'बचदफगहजकलमनपटरसतवयझधखाेिोु०१२३४५६७८९') AS reference,
+               CASE k WHEN 0 THEN translate(lower(reference), 'bcdfghjklmnpqrstvwxyzaeiou', 'बचदफगहजकलमनपटरसतवयझधखाेिोु')
+                      WHEN 1 THEN translate(lower(output), 'bcdfghjklmnpqrstvwxyzaeiou0123456789', 'बचदफगहजकलमनपटरसतवयझधखाेिोु०१२३४५६७८९')
+                      ELSE translate(lower(reference), 'bcdfghjklmnpqrstvwxyzaeiou0123456789', 'बचदफगहजकलमनपटरसतवयझधखाॆिोु०१२३४५६७८९') END AS output
+        FROM {word_answers}""",
+    # A user turn followed by the assistant's is a question and its answer. Reply 0 repeats
+    # the answer, 1 wraps it in prose, 2 has a letter replaced, 3 refuses.
+    "qa_pairs": """
+        SELECT cast(conv_id AS string) || '#q' || cast(turn AS string) AS sample_id, text AS question, answer,
+               (conv_id * 7 + turn) % 3 <> 0 AS answerable, k,
+               CASE k WHEN 0 THEN answer WHEN 1 THEN 'The answer is: ' || answer || ' (see page 1)'
+                      WHEN 2 THEN replace(answer, 'e', '¤')
+                      ELSE CASE conv_id % 3 WHEN 0 THEN 'ANSWER NOT PRESENT' WHEN 1 THEN 'Sorry, not found.' ELSE '"Answer, not present!"' END END AS output
+        FROM (SELECT *, {EACH:0,1,2,3} AS k FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer,
+                     lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM {conversations}) c
+              WHERE role = 'user' AND next_role = 'assistant') x""",
     "prediction_log": """
         SELECT event_id AS seq, 'run-' || cast(user_id % 8 AS string) AS run_key,
                's-' || cast(event_id % 500 AS string) AS sample_id, event_type <> 'error' AS ok,
