@@ -81,13 +81,19 @@ def m_wer_loose(t):
     return _words(t.word_answers, "wer_loose")
 
 
-_C, _M = "[\\x{0915}-\\x{0939}\\x{0958}-\\x{095f}]", "[\\x{0900}-\\x{0903}\\x{093a}\\x{093b}\\x{093e}-\\x{094c}\\x{094e}\\x{094f}\\x{0951}-\\x{0957}\\x{0962}\\x{0963}]"
-_UNIT = (f"(?s)(?:{_C}\\x{{093c}}?\\x{{094d}})*{_C}\\x{{093c}}?{_M}*\\x{{094d}}?"
-         f"|[\\x{{0904}}-\\x{{0914}}\\x{{0960}}\\x{{0961}}\\x{{0972}}-\\x{{097f}}]{_M}*|.").replace("{", "{{").replace("}", "}}")
+def _chars(*spans):
+    return "[" + "".join(chr(a) + "-" + chr(b) if b > a else chr(a) for a, b in spans) + "]"
+
+
+_C = _chars((0x915, 0x939), (0x958, 0x95F))
+_M = _chars((0x900, 0x903), (0x93A, 0x93B), (0x93E, 0x94C), (0x94E, 0x94F), (0x951, 0x957), (0x962, 0x963))
+_V = _chars((0x904, 0x914), (0x960, 0x961), (0x972, 0x97F))
+_NUKTA, _VIRAMA = chr(0x93C), chr(0x94D)
+_UNIT = f"(?s)(?:{_C}{_NUKTA}?{_VIRAMA})*{_C}{_NUKTA}?{_M}*{_VIRAMA}?|{_V}{_M}*|."
 
 
 def _units(c):
-    return f"regexp_extract_all(trim(regexp_replace(nfc_normalize({c}), {WS})), '{_UNIT.replace('{{', '{').replace('}}', '}')}')"
+    return f"regexp_extract_all(trim(regexp_replace(nfc_normalize({c}), {WS})), '{_UNIT}')"
 
 
 _UNITS_SQL = f"""WITH w AS (SELECT k, sample_id, {_units('reference')} AS r, {_units('output')} AS p FROM {{devanagari}}),
