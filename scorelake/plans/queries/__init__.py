@@ -1,2 +1,3 @@
 from scorelake.plans.queries import texts  # noqa: F401
 from scorelake.plans.queries import boards  # noqa: F401
+from scorelake.plans.queries import structured  # noqa: F401
