@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUNNABLE = ("native", "vlmevalkit")
@@ -30,19 +30,24 @@ def select_benchmarks(catalog: DataFrame, spec: str) -> DataFrame:
     """Comma-separated ids (any case), ``category:x``, ``engine:x`` or ``all``, in the order
     asked for. ``all`` and ``category:`` leave out boards that are only imported. A token
     that selects nothing is an error."""
-    tokens = [(i, t.strip()) for i, t in enumerate(spec.split(",")) if t.strip()]
+    tokens = [t.strip() for t in spec.split(",") if t.strip()]
     if not tokens:
         return catalog.limit(0)
-    asked = catalog.sparkSession.createDataFrame(tokens, "pos int, token string")
-    kind, value = F.substring_index("token", ":", 1), F.expr("substr(token, instr(token, ':') + 1)")
     runnable = F.col("engine").isin(*RUNNABLE)
-    grouped = F.col("_kind").isin("category", "engine") & F.contains("token", F.lit(":"))
-    hit = F.when(F.col("token") == "all", runnable).when(grouped & (F.col("_kind") == "category"), runnable & (F.col("category") == F.col("_value"))).when(
-        grouped, F.col("engine") == F.col("_value")).otherwise(F.lower("benchmark_id") == F.lower("token"))
-    pairs = catalog.join(asked.withColumns({"_kind": kind, "_value": value}), hit)
-    used = {r.pos for r in pairs.select("pos").distinct().collect()}  # one row per token asked for
-    missed = [t for i, t in tokens if i not in used and t != "all" and not t.startswith("engine:")]
+
+    def hit(token: str) -> Column:
+        if token == "all":
+            return runnable
+        kind, _, value = token.partition(":")
+        if kind == "category" and value:
+            return runnable & (F.col("category") == value)
+        if kind == "engine" and value:
+            return F.col("engine") == value
+        return F.lower("benchmark_id") == token.lower()
+
+    hits = catalog.select(*[F.max(F.coalesce(hit(t), F.lit(False))).alias(f"h{i}") for i, t in enumerate(tokens)]).head()
+    missed = [t for t, h in zip(tokens, hits) if not h and t != "all" and not t.startswith("engine:")]
     if missed:
         raise KeyError(f"no benchmarks for {missed}")
-    first = pairs.groupBy("benchmark_id").agg(F.min("pos").alias("_pos"))
-    return catalog.join(first, "benchmark_id").orderBy("_pos", "benchmark_id").drop("_pos")
+    first = F.array_min(F.array(*[F.when(hit(t), i) for i, t in enumerate(tokens)]))
+    return catalog.withColumn("_pos", first).filter("_pos IS NOT NULL").orderBy("_pos", "benchmark_id").drop("_pos")

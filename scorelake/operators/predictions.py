@@ -54,8 +54,11 @@ def completeness(latest: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def failure_streaks(log: DataFrame, run: Sequence[str] = ("run_key",), seq: str = "seq") -> DataFrame:
+def failure_streaks(
+    log: DataFrame, run: Sequence[str] = ("run_key",), seq: str = "seq", carried: DataFrame | None = None
+) -> DataFrame:
     """Every row with ``streak``: failures in a row up to and including it, 0 on success.
+    ``carried`` (run columns, carried) continues streaks from rows before these.
 
     The streak is the failures so far minus the failures there were at the last success;
     both are running aggregates over bins of ``seq``, so a run of any length spreads out."""
@@ -64,8 +67,12 @@ def failure_streaks(log: DataFrame, run: Sequence[str] = ("run_key",), seq: str
     fails = scan(rows, run, seq, "_fail", bin_=bin_).drop("before").withColumnRenamed("upto", "_fails")
     fails = fails.withColumn("_at_ok", F.when(F.col("ok"), F.col("_fails")))
     last = scan(fails, run, seq, "_at_ok", "max", bin_=bin_)
-    return last.withColumn("streak", F.col("_fails") - F.coalesce("upto", F.lit(0))).drop(
-        "_fail", "_fails", "_at_ok", "upto", "before")
+    if carried is None:
+        last = last.withColumn("carried", F.lit(0).cast("bigint"))
+    else:
+        last = last.join(carried, list(run), "left")
+    since = F.coalesce(-F.col("upto"), F.col("carried"), F.lit(0))
+    return last.withColumn("streak", F.col("_fails") + since).drop("_fail", "_fails", "_at_ok", "upto", "before", "carried")
 
 
 def tripped_runs(

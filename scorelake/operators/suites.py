@@ -13,7 +13,7 @@ def newest_matching(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """``files``: run, file, modified. ``patterns``: run, bench, pos, pattern (a LIKE pattern
     of the file name). Per (run, bench) the newest file of the first pattern that has one."""
     name = F.substring_index("file", "/", -1)
-    hits = files.withColumn("_name", name).join(patterns, "run").filter(F.col("_name").like(F.col("pattern")))
+    hits = files.withColumn("_name", name).join(patterns, "run").filter(F.like("_name", "pattern"))
     order = F.struct("pos", (-F.unix_micros("modified")).alias("age"), "file")
     return hits.groupBy("run", "bench").agg(F.min_by(F.struct("file", "modified"), order).alias("f")).select("run", "bench", "f.*")
 
