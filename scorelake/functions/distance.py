@@ -76,7 +76,7 @@ def ref_distances(pred: Column, refs: Column, sep: str = "") -> Column:
     if sep:
         return _long_distances(pred, refs, F.lit(sep))
     longest = F.array_max(F.transform(refs, F.length))
-    short = F.length(pred) * longest <= SHORT_CELLS
+    short = F.length(pred).cast("bigint") * longest <= SHORT_CELLS
     far = _long_distances(F.when(~short, pred), F.when(~short, refs), F.lit(""))
     return F.when(short, F.transform(refs, lambda r: F.levenshtein(pred, r))).otherwise(far)
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelake.operators.ordered import INDEX_BIN, scan
 
@@ -110,10 +111,8 @@ def predict(samples: DataFrame, fn: Callable[[dict], dict]) -> DataFrame:
                 made.append({**row, "latency_s": round(time.perf_counter() - started, 4), **record})
             yield pd.DataFrame(made, columns=names)
 
-    schema = samples.schema
-    for field in PREDICTION.split(", "):
-        name, kind = field.split(" ", 1)
-        schema = schema.add(name, kind) if name not in samples.columns else schema
+    given = T.StructType.fromDDL(PREDICTION)
+    schema = T.StructType([f for f in samples.schema if f.name not in given.names] + given.fields)
     names = schema.fieldNames()
     return samples.mapInPandas(batches, schema)
 

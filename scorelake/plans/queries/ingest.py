@@ -229,13 +229,13 @@ def a_board_states(t):
 
 @query("p_rating_results", f"""WITH {_ARENA_SQL} SELECT 'arena__arena-' || lower(s.subset) || '-' || category || '__model-' || cast(o_orderkey AS string) || '__' || replace(day, '-', '') AS run_id,
         CASE o_orderkey % 3 WHEN 0 THEN 'Z.ai' WHEN 1 THEN 'New Lab' ELSE 'Unknown' END AS org, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS open_weights,
-        round(rating, 4) AS rating, CASE WHEN o_orderkey % 5 <> 0 THEN round(rating - 5, 4) END AS ci_low, o_custkey AS cases FROM snaps s JOIN
+        round(rating, 6) AS rating, CASE WHEN o_orderkey % 5 <> 0 THEN round(rating - 5, 6) END AS ci_low, o_custkey AS cases FROM snaps s JOIN
         (SELECT subset, category, max(day) AS mine FROM snaps GROUP BY 1, 2) m USING (subset, category) JOIN (SELECT subset, max(day) AS newest FROM snaps GROUP BY 1) n USING (subset)
         WHERE category IN ('urgent', 'high', 'low') AND mine = newest""")
 def p_rating_results(t):
     out = G.build_results(_snapshots(t), _boards(t))
     value = F.element_at("metrics", G.RATING_METRIC)
-    return out.select("run_id", "org", "open_weights", F.round(value["value"], 4).alias("rating"), F.round(value["ci_low"], 4).alias("ci_low"), "cases")
+    return out.select("run_id", "org", "open_weights", F.round(value["value"], 6).alias("rating"), F.round(value["ci_low"], 6).alias("ci_low"), "cases")
 
 
 # --- suites -------------------------------------------------------------------------------
