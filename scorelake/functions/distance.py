@@ -42,19 +42,15 @@ def bit_distance(a, b) -> int:
             for i in spots:
                 buf[i >> 3] |= 1 << (i & 7)
             mask_of[symbol] = int.from_bytes(buf, "little")
-    every, last = (1 << size) - 1, size - 1
-    up, down, score = every, 0, size  # vertical differences of +1 and -1
+    every = (1 << size) - 1
+    up, down = every, 0  # rows where the column rises or falls by one
     for symbol in b:
         same = mask_of.get(symbol, 0)
-        vertical = same | down
-        horizontal = (((same & up) + up) ^ up) | same
-        plus = down | (every & ~(horizontal | up))
-        minus = up & horizontal
-        score += (plus >> last & 1) - (minus >> last & 1)
-        plus = (plus << 1) | 1
-        up = ((minus << 1) | ~(vertical | plus)) & every
-        down = plus & vertical & every
-    return score
+        diagonal = (((same & up) + up) ^ up) | same | down
+        plus = ((down | (every & ~(diagonal | up))) << 1) | 1
+        up = (((diagonal & up) << 1) | ~(diagonal | plus)) & every
+        down = plus & diagonal & every
+    return len(b) + up.bit_count() - down.bit_count()
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
