@@ -44,7 +44,7 @@ def src_prediction_log(t):
     writers.append_predictions(log, path)
     t.prediction_log.groupBy("run_key").agg(F.lit('{"sample_id": "torn", "se').alias("value")).select("value").coalesce(1).write.mode("append").text(f"{path}/run_key=torn")
     return P.latest_records(readers.prediction_log(t.spark, path).drop("run_key").withColumn(
-        "run_key", F.regexp_extract(F.col("_metadata.file_path"), "run_key=([^/]+)", 1))).select("run_key", "sample_id", "seq", "ok")
+        "run_key", F.regexp_extract("file", "run_key=([^/]+)", 1))).select("run_key", "sample_id", "seq", "ok")
 
 
 @query("j_resume", f"""WITH {LATEST} SELECT s.run_key, s.sample_id, l.ok IS NOT NULL AS retry FROM {{log_samples}} s LEFT JOIN latest l
@@ -346,9 +346,12 @@ def j_board_layout(t):
 
 
 def _stream(t, df, parts=3):
-    """``df`` as a stream of several files in sequence order."""
+    """``df`` as a stream of several files that arrive in sequence order."""
     path = _folder(t, "stream")
-    df.repartitionByRange(parts, "seq").write.parquet(path)
+    low, high = df.agg(F.min("seq"), F.max("seq")).head()
+    part = F.floor((F.col("seq") - low) * parts / (high - low + 1))
+    for i in range(parts):
+        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
     return jobs.file_stream(t.spark, path, df.schema)
 
 
