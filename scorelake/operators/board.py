@@ -85,8 +85,12 @@ def within(df: DataFrame, column: str, bounds: Range | None) -> DataFrame:
 
 def current_definitions(results: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Per benchmark: the catalog's definition, else the newest result's."""
-    newest = results.groupBy("benchmark_id").agg(
-        F.min_by(F.struct(*DEFINITION), F.struct(-F.unix_micros(F.col("created_at").cast("timestamp")), "run_id")).alias("_new"))
+    # The newest time first: a hash aggregate over one number. Only rows of that time, not
+    # every result's whole definition, go into the second aggregate.
+    when = F.unix_micros(F.col("created_at").cast("timestamp"))
+    latest = results.groupBy("benchmark_id").agg(F.max(when).alias("_latest"))
+    top = results.select("benchmark_id", "run_id", *DEFINITION, when.alias("_when")).join(latest, "benchmark_id").filter("_when = _latest")
+    newest = top.groupBy("benchmark_id").agg(F.min_by(F.struct(*DEFINITION), "run_id").alias("_new"))
     if catalog is None:
         return newest.select("benchmark_id", "_new.*")
     given = catalog.select("benchmark_id", F.struct(*DEFINITION).alias("_given"))

@@ -38,7 +38,7 @@ _CER = "CASE WHEN length(r) = 0 THEN 0 ELSE d / length(r) END"
 _text_query("cer", _CER, 1)
 _text_query("ned", "CASE WHEN length(r) = 0 THEN 0 ELSE d / length(r) END", 1)
 _text_query("char_accuracy", f"greatest(0, 1 - ({_CER}))", 0)
-_text_query("exact_match", "cast(p = r AS int)", 0)
+_text_query("exact_match", "cast(p = r AS double)", 0)
 _text_query("length_ratio", "length(p) / length(r)", 0)
 
 
@@ -268,7 +268,7 @@ def a_latency_stats(t):
     return A.latency_stats(t.prediction_log)
 
 
-@query("a_token_totals", """SELECT run_key, counter, sum(amount) AS total FROM (SELECT run_key, unnest(['prompt_tokens', 'completion_tokens']) AS counter,
+@query("a_token_totals", """SELECT run_key, counter, cast(sum(amount) AS double) AS total FROM (SELECT run_key, unnest(['prompt_tokens', 'completion_tokens']) AS counter,
     unnest([prompt_tokens, completion_tokens]) AS amount FROM {answers} WHERE ok) x GROUP BY ALL""")
 def a_token_totals(t):
     usage = F.create_map(F.lit("prompt_tokens"), F.col("prompt_tokens").cast("double"), F.lit("completion_tokens"),
