@@ -190,12 +190,31 @@ def test_tables(spark):
     assert rendered["same"] == HTML
 
 
-def test_tree_distance_of_known_trees():
-    rename = lambda x, y: float(x[1:] != y[1:])
-    a = [[(1, 1, "x"), (1, 1, "y")], [(1, 1, "z")]]
-    assert tables.tree_distance(a, a, rename) == 0
-    assert tables.tree_distance(a, [[(1, 1, "x"), (1, 1, "y"), (1, 1, "z")]], rename) == 1
-    assert tables.tree_distance(a, [[(1, 1, "z")]], rename) == 3
+def forest_distance(f, g, seen):
+    """The defining recursion over rightmost roots; nodes are (label, children)."""
+    if (f, g) not in seen:
+        size = lambda t: sum(1 + size(c) for _, c in t)
+        if not f or not g:
+            seen[f, g] = size(f) + size(g)
+        else:
+            (x, kids_x), (y, kids_y) = f[-1], g[-1]
+            seen[f, g] = min(
+                forest_distance(f[:-1] + kids_x, g, seen) + 1, forest_distance(f, g[:-1] + kids_y, seen) + 1,
+                forest_distance(kids_x, kids_y, seen) + forest_distance(f[:-1], g[:-1], seen) + (x != y))
+    return seen[f, g]
+
+
+def test_tree_distance_equals_its_recursion():
+    rename = lambda x, y: float(x != y)
+    tree = lambda t: ((("table",), tuple((("tr",), tuple((("td", *cell), ()) for cell in row)) for row in t)),)
+    rng = random.Random(9)
+    for _ in range(60):
+        a, b = ([[(rng.randint(1, 2), 1, rng.choice("xy")) for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 3))] for _ in range(2))
+        assert tables.tree_distance(a, b, rename) == forest_distance(tree(a), tree(b), {}), (a, b)
+    one_row, two_rows = [[(1, 1, "x"), (1, 1, "y"), (1, 1, "z")]], [[(1, 1, "x"), (1, 1, "y")], [(1, 1, "z")]]
+    assert tables.tree_distance(two_rows, two_rows, rename) == 0
+    assert tables.tree_distance(two_rows, one_row, rename) == 3
+    assert tables.tree_distance(two_rows, two_rows[1:], rename) == 3
 
 
 def test_extract_tables(spark):
