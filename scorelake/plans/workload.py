@@ -67,8 +67,8 @@ DERIVED: dict[str, str] = {
                value AS latency_s, ts, event_id % 4 + 1 AS attempts
         FROM {events}""",
     "log_samples": """
-        SELECT run_key, 's-' || cast(n AS string) AS sample_id
-        FROM (SELECT DISTINCT run_key FROM {prediction_log}) r, (SELECT DISTINCT event_id % 520 AS n FROM {events}) s""",
+        SELECT DISTINCT 'run-' || cast(user_id % 8 AS string) AS run_key, 's-' || cast(event_id % 520 AS string) AS sample_id
+        FROM {events}""",
     "results": """
         SELECT 'r-' || cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) || '-' ||
                    cast(l_partkey AS string) || '-' || cast(l_suppkey AS string) AS run_id,
