@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -25,25 +26,31 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return prepare(spark)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Wiring for tests, the bench and the entry points: where a local session has no checkpoint
+    folder it gets one, and its Python workers find this package. On a cluster both come with the
+    job (``spark.checkpoint.dir``; a wheel, or ``--py-files``)."""
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        known = context.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
     return spark
 
 
-_test_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only where it is unset (a local test session)
-    does this fall back to a folder of its own; on a cluster an unset folder is an error,
-    because a driver-local folder is invisible to the executors."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder in ``spark.checkpoint.dir``, else the context's checkpoint folder. A job without
+    either stops here: a driver-local folder would be invisible to the executors."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _test_folders:
-        _test_folders[app] = tempfile.mkdtemp(prefix="spark-")
-    return _test_folders[app]
+    return folder.rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
