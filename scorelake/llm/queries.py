@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import minhash
+from scorelake.llm import licenses, minhash, pieces, quality, tokens, topk, warc
+from scorelake.llm.common import materialise, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +30,40 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def folder_for(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_simple8b")
+def op1_simple8b(spark: SparkSession, folder: str) -> DataFrame:
+    out = folder_for(spark, "token-ids")
+    materialise(tokens.write_token_files(table(spark, folder, "documents"), out, vocabulary("byte_bpe_50k.json")))
+    return tokens.read_token_digests(spark, out)
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    done = pieces.encoded(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), lists=False)
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "covered")
+
+
+@query("op3_maxscore", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def op3_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.weighted(table(spark, folder, "embeddings"))
+    return topk.top_k(vectors.where("id % 50 = 0"), vectors, 5)
+
+
 @query("op4_superminhash", f"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
     s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
@@ -41,3 +77,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m ON doc_id = a""")
 def op4_superminhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op6_signature_rules")
+def op6_signature_rules(spark: SparkSession, folder: str) -> DataFrame:
+    seen = licenses.license_spans(table(spark, folder, "documents"))
+    base = F.transform("base", lambda x: x["label"])
+    every = F.concat(base, F.transform("found", lambda x: x["label"]))
+    surest = F.array_max(F.concat(F.transform("found", lambda x: x["confidence"]), F.transform("base", lambda x: F.lit(0.8))))
+    return seen.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(F.transform("base", lambda x: x["word"])).alias("first_word"),
+        F.array_max(F.transform("base", lambda x: x["word"])).alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("labels"), F.coalesce(surest, F.lit(0.0)).alias("score"))
+
+
+@query("op7_weak_supervision")
+def op7_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.rated(table(spark, folder, "documents")).select("doc_id", *quality.FEATURES, "base_failed", "kept", "posterior")
+
+
+@query("op10_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+    g AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p),
+    d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+              (((('0x' || substr(hex, (k // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1)::BIGINT, 1)), '') AS b32 FROM g)
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes, b32 AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS intact FROM d""")
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    out = folder_for(spark, "archives")
+    materialise(warc.write_warc(table(spark, folder, "pages"), out))
+    read = warc.read_warc(spark, out, payload=False)
+    return read.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"), "intact")
