@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import licenses, minhash, pieces, quality, tokens, topk, warc
+from scorelake.llm import langid, licenses, minhash, mixing, neighbours, pieces, quality, tokens, topk, warc
 from scorelake.llm.common import materialise, shared_folder
+from scorelake.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +109,23 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     materialise(warc.write_warc(table(spark, folder, "pages"), out))
     read = warc.read_warc(spark, out, payload=False)
     return read.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"), "intact")
+
+
+@query("op5_pfair_mix")
+def op5_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
+    made = mixing.mixed(table(spark, folder, "documents").select("doc_id", "source", "text"), 0.7)
+    return made.select("doc_id", "mix.source", "mix.block", "mix.epoch", "mix.slot", "mix.size")
+
+
+@query("op8_ftrl_langid")
+def op8_ftrl_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.identified(docs, langid.train(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_lsa_neighbours")
+def op9_lsa_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = neighbours.scored(docs, neighbours.train(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
