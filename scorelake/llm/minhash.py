@@ -7,11 +7,11 @@
    as soon as all slots hold ranks below j the remaining steps are skipped.
 3. Banding: representatives that agree on all rows of a band share a bucket. 50 bands of 5 rows miss
    a pair at similarity 0.75 with probability 1e-6, more similar pairs less.
-4. Verification on the full sets in three passes, so that no pass emits all pairs of a bucket of
-   copies: each member against its bucket's smallest; then, between members of different components,
-   each against its most similar partner; then every pair that is still in different components. The
-   last two estimate the similarity from the signatures inside tasks of bounded blocks and drop a
-   pair below 155 of 250 equal slots (a true link falls below it with probability 6e-7).
+4. Verification on the full sets in two passes, so that no pass emits all pairs of a bucket of copies:
+   each member against its bucket's smallest; then, inside tasks that hold bounded blocks of a bucket,
+   members of still different components against each other, the most similar first and one link
+   for each component. The second pass estimates the similarity from the signatures and drops a pair
+   below 155 of 250 equal slots (a true link falls below it with probability 6e-7).
 5. Union-find grouping: each task contracts its links with a union-find, and alternating large-star
    and small-star joins finish the components. Nothing is gathered on the driver.
 
@@ -187,61 +187,69 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(top)
 
 
-_NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("label", pa.int64()), ("equal", pa.int32())])
-
-
-def _near(best: bool):
-    """Members of one bucket block arrive first, then the probes stream past them."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, table = None, [], None
-        for batch in batches:
-            out: list[tuple] = []
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for bucket, block, probe, node, label, n, signature in zip(*columns, strict=True):
-                if key != (bucket, block):
-                    key, held, table = (bucket, block), [], None
-                if not probe:
-                    held.append((node, label, n, signature))
-                    continue
-                if not held:
-                    continue
-                if table is None:
-                    ids, labels, sizes = (np.array([h[k] for h in held], np.int64) for k in range(3))
-                    table = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), SLOTS)
-                some = np.flatnonzero((labels != label) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)))
-                if not len(some):
-                    continue
-                equal = (table[some] == np.frombuffer(signature, np.uint8)).sum(axis=1)
-                some, equal = some[equal >= LEAST_EQUAL], equal[equal >= LEAST_EQUAL]
-                if best and len(some):
-                    order = np.lexsort((ids[some], -equal, labels[some]))
-                    some, equal = some[order], equal[order]
-                    _, first = np.unique(labels[some], return_index=True)
-                    some, equal = some[first], equal[first]
-                out += [(node, int(ids[i]), int(labels[i]), int(e)) for i, e in zip(some, equal, strict=True)]
-            if out:
-                yield rows(_NEAR, *zip(*out, strict=True))
-
-    return scan
-
-
-def _between(members: DataFrame, labels: DataFrame, signed: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of bucket members in different components that their signatures admit: all, or
-    for each member and other component the most similar. Only members outside a bucket's largest
-    component are compared with the rest."""
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+class _Held:
+    """The members of one bucket block, as arrays."""
+
+    def __init__(self, members: list[tuple]):
+        self.nodes, self.labels, self.sizes = (np.array([m[k] for m in members], np.int64) for k in range(3))
+        self.slots = np.frombuffer(b"".join(m[3] for m in members), np.uint8).reshape(len(members), SLOTS)
+        self.bands = np.array([m[4] for m in members], np.int64)
+        self.sets = [np.frombuffer(m[5], np.uint64) for m in members]
+
+    def links(self, key: int, node: int, label: int, n: int, signature: bytes, bands: list[int], shingles_: bytes) -> list[int]:
+        """Members of other components that the probe is linked with, one of each component: the most
+        promising first. A pair is tried in the first bucket that it shares."""
+        some = np.flatnonzero((self.labels != label) & (100 * np.minimum(self.sizes, n) >= 75 * np.maximum(self.sizes, n)))
+        if not len(some):
+            return []
+        equal = (self.slots[some] == np.frombuffer(signature, np.uint8)).sum(axis=1)
+        own = np.array(bands, np.int64)
+        some, equal = some[equal >= LEAST_EQUAL], equal[equal >= LEAST_EQUAL]
+        here = (self.bands[some] == own).argmax(axis=1) == int((own == key).argmax()) if len(some) else np.empty(0, bool)
+        some, equal = some[here], equal[here]
+        found, done, own_set = [], set(), np.frombuffer(shingles_, np.uint64)
+        for i in some[np.lexsort((self.nodes[some], -equal))].tolist():
+            other = int(self.labels[i])
+            if other not in done and linked(own_set, self.sets[i]):
+                done.add(other)
+                found.append(int(self.nodes[i]))
+        return found
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket and block, held members before the probes that stream past them."""
+    key, members, held = None, [], None
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for bucket, block, probe, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (bucket, block):
+                key, members, held = (bucket, block), [], None
+            if not probe:
+                members.append(tuple(row))
+            elif members:
+                held = held or _Held(members)
+                out += [(row[0], other) for other in held.links(bucket, *row)]
+        if out:
+            yield rows(_LINKS, *zip(*out, strict=True))
+
+
+def _between(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) between bucket members of different components. Only members outside a bucket's
+    largest component are compared with the rest, in blocks of bounded size."""
     named = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tally = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = tally.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("groups")).where("groups > 1")
     mixed = mixed.select("key", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    here = named.join(mixed, "key").join(signed.select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "node")
-    held = here.select("key", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(False).alias("probe"), "node", "label", "n_shingles", "signature")
-    probes = here.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "node", "label", "n_shingles", "signature")
+    here = materialise(named.join(mixed, "key"))
+    full = here.join(known, "node")
+    columns = ["node", "label", "n_shingles", "signature", "bands", "shingles"]
+    held = full.select("key", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(False).alias("probe"), *columns)
+    probes = full.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *columns)
     dealt = held.unionByName(probes).repartition("key", "block").sortWithinPartitions("key", "block", "probe")
-    found = dealt.mapInArrow(_near(best), "a long, b long, label long, equal int")
-    if best:
-        found = found.groupBy("a", "label").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(_near, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -256,15 +264,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialise(keyed.join(buckets, "key").select("key", "node", "low"))
     nodes = members.select("node").distinct()
     sets = materialise(texts.join(nodes, texts["doc_id"] == nodes["node"], "leftsemi").mapInArrow(_pack, "node long, shingles binary"))
-    met = signed.join(nodes, signed["doc_id"] == nodes["node"], "leftsemi").select("doc_id", "n_shingles", "signature")
-
-    tried = materialise(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    tried = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     labels = materialise(components(confirmed(tried, sets)))
-    for best in (True, False):
-        fresh = materialise(_between(members, labels, met, best).join(tried, ["a", "b"], "leftanti"))
-        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = materialise(components(known.unionByName(confirmed(fresh, sets))))
-        tried = tried.unionByName(fresh)
+    known = sets.join(signed.where("shape is not null").select(F.col("doc_id").alias("node"), "n_shingles", "signature", "bands"), "node")
+    stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = materialise(components(stars.unionByName(_between(members, labels, known))))
 
     named = classes.join(labels, "node", "left").select("shape", F.coalesce("label", "node").alias("label"))
     out = signed.select("doc_id", "n_shingles", "shape").join(named, "shape", "left")
