@@ -167,3 +167,15 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row, from its text alone."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_predicts(model), "doc_id long, lang_pred string, score double")
+
+
+def confident(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known with a score of ``least``."""
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.predict(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

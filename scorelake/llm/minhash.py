@@ -274,3 +274,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", "shape").join(named, "shape", "left")
     out = out.withColumn("component_id", F.when(F.col("shape").isNull(), F.col("doc_id")).otherwise(F.col("label")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group, with all columns: the one with the smallest doc_id (any one of the rows
+    that repeat this id). Rows without an id cannot be told apart and stay."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

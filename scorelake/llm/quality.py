@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scorelake.llm.common import materialise, pieces, rows
+from scorelake.llm.common import materialise, pieces
 from scorelake.llm.words import SPACE, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -34,8 +35,6 @@ _KIND[33] = 5
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHAPES = ("n_upper", "n_letters", "n_marks", "n_distinct", "n_lines", "n_sentences")
-_SCHEMA = pa.schema([("doc_id", pa.int64())] + [(c, pa.int64()) for c in FEATURES + SHAPES])
-
 
 def repeat_words(hashes: np.ndarray) -> int:
     """Words inside three-word windows that occur twice or more in the text."""
@@ -73,17 +72,30 @@ def measure(texts: list[bytes]) -> list[tuple[int, ...]]:
     return out
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in pieces(whole, "text", 1 << 20):
-            texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
-            yield rows(_SCHEMA, batch.column(0), *zip(*measure(texts), strict=True)) if texts else rows(_SCHEMA, *[[]] * len(_SCHEMA))
+def _measure(at: int, schema: pa.Schema):
+    """Append the figures of column ``at`` to every row."""
+    kind = schema.field(len(schema) - 1).type
 
+    def measured_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, whole.schema.field(at).name, 1 << 20):
+                texts = [b"" if t is None else t.encode() for t in batch.column(at).to_pylist()]
+                figures = np.array(measure(texts), np.int64).reshape(len(texts), len(kind))
+                added = pa.StructArray.from_arrays([pa.array(figures[:, k]) for k in range(len(kind))], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([*batch.columns, added], names=schema.names)
+
+    return measured_batch
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, FEATURES and SHAPES of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_measure, ", ".join(f"{f.name} long" for f in _SCHEMA))
+
+def measured(docs: DataFrame, name: str = "figures") -> DataFrame:
+    """All columns of every row, and FEATURES and SHAPES of its text as the struct ``name``."""
+    if name in docs.columns:
+        raise ValueError(f"choose another name than {name!r} for the figures")
+    fields = T.StructType([T.StructField(c, T.LongType()) for c in FEATURES + SHAPES])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, fields)])
+    figures = pa.struct([(c, pa.int64()) for c in FEATURES + SHAPES])
+    layout = pa.schema([*((c, pa.null()) for c in docs.columns), (name, figures)])
+    return docs.mapInArrow(_measure(docs.columns.index("text"), layout), schema)
 
 
 def _share(part: str, whole: str):
@@ -149,14 +161,30 @@ def fit(counts: dict[int, int], rounds: int = 200, prior: float = 0.8, strength:
     return dict(zip(counts, posterior().tolist() if len(weight) else [], strict=True))
 
 
-def rated(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id, FEATURES, SHAPES, base_failed, posterior and kept of every row. The texts are read once;
-    the counts of vote patterns cover all rows."""
-    seen = materialise(measured(docs).withColumn("pattern", pattern()))
+def known_posteriors(seen: DataFrame) -> DataFrame:
+    """(pattern, posterior), fitted to the vote patterns of all rows: at most 3 ** len(RULES) rows."""
     counts = {r["pattern"]: r["n"] for r in seen.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()}
-    chances = fit(counts)
-    spark = docs.sparkSession
-    known = spark.createDataFrame(list(chances.items()), "pattern int, posterior double")
-    out = seen.join(F.broadcast(known), "pattern", "left")  # at most 3 ** len(RULES) rows
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= least))
+    return seen.sparkSession.createDataFrame(list(fit(counts).items()), "pattern int, posterior double")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def rated(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """doc_id, FEATURES, SHAPES, base_failed, posterior and kept of every row. The texts are read once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    seen = materialise(measured(texts).select("doc_id", "figures.*").withColumn("pattern", pattern()))
+    out = seen.join(F.broadcast(known_posteriors(seen)), "pattern", "left")
+    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
+
+
+def good(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns: one pass for the fit, one for the choice,
+    and no shuffle of texts."""
+    known = known_posteriors(measured(docs.select("text")).select("figures.*").select(pattern().alias("pattern")))
+    name = "__figures"
+    row = measured(docs, name)
+    judged = row.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), f"{name}.*").withColumn("pattern", pattern())
+    kept = judged.join(F.broadcast(known), "pattern").where(~base_failed() & (F.col("posterior") >= least))
+    return kept.select("row.*")
