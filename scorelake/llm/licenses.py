@@ -122,38 +122,39 @@ FORMS = [
 
 # Licences recognised by sentences of their own text.
 SENTENCES = [
-    ("mit", "furnished", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit", "sublicense", "use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", "neither the name of .{1,80}? may be used to endorse or promote products derived from this software"),
-    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
-    ("apache-2", "apache", "you may not use this (?:file|work) except in compliance with the license"),
-    ("apache-2", "apache", "www apache org licenses license 2 0"),
-    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl", "warranty", "you should have received a copy of the gnu general public license"),
-    ("lgpl", "lesser", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl-3", "affero", "you should have received a copy of the gnu affero general public license"),
-    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "express", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("bsl-1.0", "boost", "distributed under the boost software license"),
-    ("wtfpl", "fuck", "everyone is permitted to copy and distribute verbatim or modified copies .{1,60}? do what the fuck"),
-    ("cc-by", "creativecommons", "creativecommons org licenses by [1234] 0"),
-    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa [1234] 0"),
-    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc [1234] 0"),
-    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd [1234] 0"),
-    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa [1234] 0"),
-    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd [1234] 0"),
-    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
-    ("gpl", "gnu", "www gnu org licenses gpl"),
-    ("lgpl", "gnu", "www gnu org licenses lgpl"),
-    ("agpl-3", "gnu", "www gnu org licenses agpl"),
-    ("ofl-1.1", "sil", "scripts sil org ofl"),
-    ("proprietary", "confidential", "proprietary and confidential"),
-    ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document|material)"),
-    ("all-rights-reserved", "reserved", "all rights reserved"),
-    ("non-commercial", "non", "(?:for )?non ?commercial (?:use|purposes) only"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "neither the name of .{1,80}? may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display"),
+    ("apache-2", "you may not use this (?:file|work) except in compliance with the license"),
+    ("apache-2", "www apache org licenses license 2 0"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "you should have received a copy of the gnu general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl-3", "you should have received a copy of the gnu affero general public license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("bsl-1.0", "distributed under the boost software license"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies .{1,60}? do what the fuck"),
+    ("cc-by", "creativecommons org licenses by [1234] 0"),
+    ("cc-by-sa", "creativecommons org licenses by sa [1234] 0"),
+    ("cc-by-nc", "creativecommons org licenses by nc [1234] 0"),
+    ("cc-by-nd", "creativecommons org licenses by nd [1234] 0"),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa [1234] 0"),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd [1234] 0"),
+    ("cc0-1.0", "creativecommons org publicdomain zero 1 0"),
+    ("gpl", "www gnu org licenses gpl"),
+    ("lgpl", "www gnu org licenses lgpl"),
+    ("agpl-3", "www gnu org licenses agpl"),
+    ("ofl-1.1", "scripts sil org ofl"),
+    ("proprietary", "proprietary and confidential"),
+    ("proprietary", "unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document|material)"),
+    ("all-rights-reserved", "all rights reserved"),
+    ("non-commercial", "non commercial (?:use|purposes) only"),
+    ("non-commercial", "noncommercial (?:use|purposes) only"),
 ]
 
 
@@ -191,7 +192,7 @@ def rules() -> list[Rule]:
                 out.append(Rule(label, priority, confidence, "spdx" if kind == "tag" else "licen", form.format(id=f"(?:{tag})", names="(?!)")))
             if kind != "tag":
                 out += [Rule(label, priority, confidence, _keyword(name), form.format(id="(?!)", names=name)) for name in _alternatives(names)]
-    out += [Rule(label, 2, 0.9, keyword, sentence) for label, keyword, sentence in SENTENCES]
+    out += [Rule(label, 2, 0.9, _keyword(sentence), sentence) for label, sentence in SENTENCES]
     out += [Rule(label, 3, 0.8, max(phrase.split(), key=len), phrase) for phrase, label in BASE.items()]
     return sorted(out, key=lambda r: r.priority)
 

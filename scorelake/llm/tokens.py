@@ -290,6 +290,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     """Encode every whole text (null: empty) and write files in ascending doc_id order. Rows without
     an id come first; rows with equal ids follow each other in the order of their texts' hashes, so
     a repeated id may span tasks. Returns a lazy (path, n_docs, n_ids): writing happens when it is read."""
+    files.Store(folder)  # exists even without rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -119,6 +119,7 @@ def _writes(folder: str, file_bytes: int):
 def write_warc(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Archive every row (page_id, url, html). Returns a lazy (path, records, bytes): writing happens
     when it is read."""
+    files.Store(folder)  # exists even without rows
     return plan(pages, least).select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_writes(folder.rstrip("/"), file_bytes), "path string, records long, bytes long")
 
 
