@@ -48,11 +48,14 @@ def run_id(*parts: Column) -> Column:
     return F.concat_ws("__", *parts)
 
 
+FULL_DATE = r"^\d{4}-\d{2}-\d{2}([T ]|$)"
+
+
 def parse_date(c: Column) -> Column:
     """Four plain formats, then ISO with offset; without an offset the time is UTC."""
     text = F.trim(c)
     plain = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
-    return F.coalesce(*plain, F.expr("NULL").cast("timestamp"), text.try_cast("timestamp"))
+    return F.coalesce(*plain, F.when(text.rlike(FULL_DATE), text.try_cast("timestamp")))
 
 
 def error_kind(c: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelake.functions.names import error_kind
 from scorelake.operators.ordered import nearest_ranks
@@ -132,6 +133,19 @@ def content_digest(
         F.sum("_n").alias("records"))
 
 
-def config_hash(config: Column, length: int = 10) -> Column:
-    """Short hash of a configuration struct or map with its fields in name order."""
-    return F.left(F.sha2(F.to_json(config), 256), F.lit(length))
+def ordered(value: Column, kind: T.DataType) -> Column:
+    """The value with struct fields in name order and maps as entries in key order, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*(ordered(value[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: ordered(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), F.to_json(F.struct(ordered(e["value"], kind.valueType).alias("v"))).alias("value")))
+        return F.array_sort(entries)
+    return value
+
+
+def config_hash(rows: DataFrame, column: str, length: int = 10) -> Column:
+    """Short hash of a configuration struct or map; the order of its fields does not matter."""
+    return F.left(F.sha2(F.to_json(ordered(F.col(column), rows.schema[column].dataType)), 256), F.lit(length))

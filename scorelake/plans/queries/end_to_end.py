@@ -30,7 +30,7 @@ def q_transcription_board(t):
     """Documents scored under four models: character accuracy, its interval, the board."""
     log = t.answers.withColumns({"references": F.array("reference"), "seq": F.lit(0)}).select(
         "run_key", "sample_id", "seq", "ok", "output", "references")
-    results, _ = evaluate(SPEC, log, replicates=200)
+    results, _ = evaluate(SPEC, log)
     board = B.boards(results)
     return board.select("model_id", F.round("score", 6).alias("score"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"),
                         F.round("score_100", 4).alias("score_100"), F.round(F.element_at("metrics", "cer")["value"], 6).alias("cer"), "rank", "position", "cases")

@@ -43,8 +43,7 @@ def src_prediction_log(t):
     log = t.prediction_log.select("run_key", "sample_id", "seq", "ok", "output", "latency_s")
     writers.append_predictions(log, path)
     t.prediction_log.groupBy("run_key").agg(F.lit('{"sample_id": "torn", "se').alias("value")).select("value").coalesce(1).write.mode("append").text(f"{path}/run_key=torn")
-    return P.latest_records(readers.prediction_log(t.spark, path).drop("run_key").withColumn(
-        "run_key", F.regexp_extract("file", "run_key=([^/]+)", 1))).select("run_key", "sample_id", "seq", "ok")
+    return P.latest_records(readers.prediction_log(t.spark, path)).select("run_key", "sample_id", "seq", "ok")
 
 
 @query("j_resume", f"""WITH {LATEST} SELECT s.run_key, s.sample_id, l.ok IS NOT NULL AS retry FROM {{log_samples}} s LEFT JOIN latest l
@@ -114,8 +113,13 @@ def snk_drill_down(t):
     path = _folder(t, "store")
     latest = t.answers.withColumns({"sample_id": F.col("sample_id").cast("string"), "references": F.array("reference"), "seq": F.lit(0)})
     scores = latest.select("run_key", "sample_id", "ok", F.create_map(F.lit("ok"), F.col("ok").cast("double")).alias("scores"))
-    writers.write_drill_down(writers.drill_down_rows(scores, latest), path)
-    back = t.spark.read.schema("sample_id string, ok boolean, output string, finish_reason string, run_key string").json(f"{path}/samples")
+    rows = writers.drill_down_rows(scores, latest)
+    first = F.col("run_key") == "model-0"
+    for part in (rows.filter(first), rows.filter(~first), rows.filter(first)):  # later writes leave other runs alone
+        writers.write_drill_down(part, path)
+    schema = "sample_id string, ok boolean, output string, finish_reason string"
+    runs = [readers.drill_down(t.spark, path, f"model-{k}", schema) for k in range(4)]
+    back = runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(runs[3])
     return back.select("run_key", F.col("sample_id").cast("bigint").alias("sample_id"), "ok", F.length("output").alias("chars"), "finish_reason")
 
 
@@ -156,14 +160,49 @@ def v_publish_gate(t):
     return U.gate(t.results).select("run_id", "refused")
 
 
-@query("snk_publish", """SELECT CASE l_suppkey % 3 WHEN 0 THEN 'published' WHEN 1 THEN 'unchanged' ELSE 'conflict' END AS status, count(*) AS n FROM {lineitem} GROUP BY 1""")
+@query("snk_publish", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id, model_id, score, cases) AS copy FROM {results}),
+    torn AS (SELECT run_id FROM r WHERE copy = 1 GROUP BY run_id HAVING count(*) > 1)
+    SELECT CASE WHEN run_id IN (FROM torn) THEN 'conflict' WHEN copy > 1 THEN 'unchanged'
+        ELSE CASE cast(substr(model_id, 3) AS int) % 3 WHEN 0 THEN 'published' WHEN 1 THEN 'unchanged' ELSE 'conflict' END END AS status, count(*) AS n FROM r GROUP BY 1""")
 def snk_publish(t):
     new = t.results.select("run_id", "model_id", "score", "cases")
     kind = F.regexp_extract("model_id", "\\d+", 0).cast("int") % 3
-    old = new.filter(kind > 0).withColumn("score", F.when(kind == 1, F.col("score")).otherwise(F.col("score") + 1))
+    old = new.filter(kind > 0).withColumn("score", F.when(kind == 1, F.col("score")).otherwise(F.col("score") + 1)).dropDuplicates(["run_id"])
     return U.status_counts(U.publish_status(new, old, ["run_id", "model_id", "score", "cases"]))
 
 
+@query("snk_publish_roundtrip", """WITH r AS (SELECT run_id, (cases + errors * 7) % 17 AS k, CASE WHEN cases > 0 THEN errors / cases ELSE 1 END > 0.05 AS refused, errors > cases AS torn FROM {results})
+    SELECT run_id FROM r WHERE k NOT IN (3, 5, 7, 9) AND NOT torn AND NOT refused GROUP BY run_id HAVING count(*) = 1 AND max(k) <> 1""")
+def snk_publish_roundtrip(t):
+    """Three batches into a store. The first holds some runs with two contents (conflict); the second
+    repeats all with their maps in another order (unchanged) beside a contradiction (conflict); the third
+    repeats them alone. What is read back is what the first published."""
+    path, k = _folder(t, "store"), (F.col("cases") + F.col("errors") * 7) % 17
+    batch = _stored(t).withColumn("_k", k)
+    other = batch.withColumn("created_at", F.lit("2020-02-02T00:00:00Z"))
+    U.publish(batch.unionByName(other.filter("_k = 1")).drop("_k"), path)
+    turned = batch.filter("_k <> 1").withColumn("metrics", F.map_from_entries(F.reverse(F.map_entries("metrics")))).drop("_k")
+    U.publish(turned.unionByName(other.filter("_k NOT IN (1, 9)").drop("_k")), path)
+    U.publish(turned, path)
+    return readers.result_store(t.spark, path)[0].select("run_id")
+
+
+@query("src_manifest_ids", "SELECT cast(row_number() OVER (ORDER BY source, doc_id) - 1 AS string) AS sample_id, md5(text) AS reference FROM {documents}")
+def src_manifest_ids(t):
+    """Default ids over files of unequal size: the row's place in path order, whatever the splits."""
+    path = _folder(t, "manifest")
+    t.documents.select("source", "doc_id", "text").repartition(1).sortWithinPartitions("source", "doc_id").write.partitionBy("source").json(path)
+    df = readers.manifest(t.spark, path, "text string")
+    return df.select("sample_id", F.md5(F.element_at("references", 1)).alias("reference"))
+
+
+@query("src_columnar_ids", "SELECT 'test-' || cast(row_number() OVER (ORDER BY source, doc_id) - 1 AS string) AS sample_id, md5(text) AS reference FROM {documents}")
+def src_columnar_ids(t):
+    path = _folder(t, "columnar")
+    t.documents.select("source", "doc_id", "text").repartition(1).sortWithinPartitions("source", "doc_id").write.partitionBy("source").parquet(path)
+    return readers.columnar_samples(t.spark, path, "text").select("sample_id", F.md5(F.element_at("references", 1)).alias("reference"))
+
+
 @query("v_import", """SELECT coalesce(reason, 'ok') AS reason, count(*) AS n, cast(sum(cases) AS bigint) AS cases, count(DISTINCT run_id) AS runs FROM (
     SELECT CASE WHEN p_size % 10 = 0 THEN 'unknown benchmark' WHEN l_linenumber = 1 AND l_quantity < 20 THEN 'no score' WHEN l_quantity > 40 THEN 'score outside scale'
                 WHEN l_linenumber = 2 THEN 'unreadable date' END AS reason, CASE WHEN p_size % 10 = 0 AND l_linenumber = 3 THEN 0 WHEN l_linenumber = 3 THEN 40 ELSE l_linenumber END AS cases,
