@@ -198,23 +198,36 @@ class Encoder:
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.odd = re.compile(r" (?:(?=\s)|(?<=\s ))")  # a space beside white space
         self.known: dict[str, bytes] = {}
+        (self.line_end,), *ends = self._whole(["\n", *".,;:!?"])
+        self.ends = {sign: np.array(ids, "<u4").tobytes() for sign, ids in zip(".,;:!?", ends, strict=True)}
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Remember the ids of each word with a space before it. Plain words are encoded many at a
-        time as lines; no id but the line end's holds a line end."""
-        plain = [w for w in words if len(w.split()) == 1 and w == w.strip()]
-        other = list(set(words).difference(plain))
-        (stop,), = self._whole(["\n"])
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
+        """Remember the ids of each word with a space before it. A letter run and the sign after it are
+        separate for the pre-tokenizer, so such a word is put together from two. Other plain words are
+        encoded many at a time as lines; no id but the line end's holds a line end."""
+        known, lines, odd, made = self.known, [], [], []
+        for w in words:
+            if w[-1:] in self.ends and w[:-1].isalpha() and max(w) < "\u0250":
+                made.append(w)
+            elif len(w.split()) == 1 and w == w.strip():
+                lines.append(w)
+            else:
+                odd.append(w)
+        lines += {w[:-1] for w in made}.difference(known, lines)
+        for at in range(0, len(lines), 2000):
+            part = lines[at:at + 2000]
             ids = np.array(self._whole([" " + "\n ".join(part)])[0], "<u4")
-            lines = np.split(ids, np.flatnonzero(ids == stop))
-            self.known.update((w, x[i > 0:].tobytes()) for i, (w, x) in enumerate(zip(part, lines, strict=True)))
-        for w, ids in zip(other, self._whole([" " + w for w in other]) if other else (), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
+            blob, start = ids.tobytes(), 0
+            for w, end in zip(part, [*(4 * np.flatnonzero(ids == self.line_end)).tolist(), len(blob)], strict=True):
+                known[w] = blob[start:end]
+                start = end + 4
+        for w in made:
+            known[w] = known[w[:-1]] + self.ends[w[-1]]
+        for w, ids in zip(odd, self._whole([" " + w for w in odd]) if odd else (), strict=True):
+            known[w] = np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, unsigned 32-bit."""
