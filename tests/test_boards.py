@@ -33,11 +33,11 @@ def ranks(df):
 
 def test_ranks_of_several_boards_at_once(spark):
     rows = [
-        result("a", 80, (78.0, 82.0)), result("b", 79, (77.0, 81.0)), result("c", 60, (58.0, 62.0)),
-        result("a", 50, bench="ties"), result("b", 50, bench="ties"), result("c", 40, bench="ties"),
-        result("a", 0.10, (0.09, 0.11), bench="low", higher=False, scale=1.0), result("b", 0.30, (0.28, 0.32), bench="low", higher=False, scale=1.0),
-        result("x", 1326, (1318.0, 1334.0), bench="elo", scale=None), result("y", 1317, (1309.0, 1325.0), bench="elo", scale=None),
-        result("z", 1291, (1280.0, 1302.0), bench="elo", scale=None)]
+        result("a", 71, (69.5, 72.5)), result("b", 70.5, (69.0, 72.0)), result("c", 44, (42.0, 46.0)),
+        result("a", 33, bench="ties"), result("b", 33, bench="ties"), result("c", 12, bench="ties"),
+        result("a", 0.05, (0.04, 0.06), bench="low", higher=False, scale=1.0), result("b", 0.42, (0.4, 0.44), bench="low", higher=False, scale=1.0),
+        result("x", 1208, (1201.0, 1215.0), bench="elo", scale=None), result("y", 1203, (1196.0, 1210.0), bench="elo", scale=None),
+        result("z", 1150, (1140.0, 1160.0), bench="elo", scale=None)]
     board = B.boards(frame(spark, rows)).cache()
     by = lambda b: ranks(board.filter(F.col("benchmark_id") == b))
     assert by("b") == {"a": (1, 2, 1), "b": (1, 2, 2), "c": (3, 3, 3)}
@@ -45,19 +45,19 @@ def test_ranks_of_several_boards_at_once(spark):
     assert by("low") == {"a": (1, 1, 1), "b": (2, 2, 2)}
     assert by("elo") == {"x": (1, 2, 1), "y": (1, 2, 2), "z": (3, 3, 3)}
     scores = {(r.benchmark_id, r.model_id): r.score_100 for r in board.collect()}
-    assert scores["low", "a"] == pytest.approx(90) and scores["elo", "x"] is None
+    assert scores["low", "a"] == pytest.approx(95) and scores["elo", "x"] is None
     assert [r.model_id for r in B.board_order(board.filter("benchmark_id = 'low'")).collect()] == ["a", "b"]
 
 
 def test_representative_and_definitions(spark):
-    rows = [result("m", 90, kind="imported"), result("m", 70, cases=10), result("m", 60, days_ago=9), result("m", 65, days_ago=1),
-            result("old", 55, version="0", days_ago=50), result("re", 0.2, primary="cer", higher=False, extra={"acc": 88}, days_ago=40),
+    rows = [result("m", 95, kind="imported"), result("m", 81, cases=30), result("m", 52, days_ago=6), result("m", 57, days_ago=2),
+            result("old", 49, version="0", days_ago=50), result("re", 0.3, primary="cer", higher=False, extra={"acc": 83}, days_ago=40),
             result("gone", 0.2, primary="cer", higher=False, days_ago=40)]
     got = {r.model_id: r.score for r in B.candidates(frame(spark, rows)).collect()}
-    assert got == {"m": 65, "re": 88}
+    assert got == {"m": 57, "re": 83}
     # Filters come before the pick: without full runs' models, the subset run surfaces.
     only = B.candidates(frame(spark, rows[:2]), filters=B.Filters(include_imported=False)).collect()
-    assert [(r.model_id, r.score) for r in only] == [("m", 70)]
+    assert [(r.model_id, r.score) for r in only] == [("m", 81)]
     assert B.candidates(frame(spark, rows), filters=B.Filters(score=(80.0, None))).count() == 1
 
 
@@ -72,22 +72,22 @@ def test_filters(spark):
 
 
 def test_frontier_and_payload(spark):
-    rows = [result("a", 1326, scale=None), result("b", 1317, scale=None), result("c", 1291, scale=None), result("d", 1291, scale=None), result("free", 1150, scale=None), result("dear", 1300, scale=None)]
-    prices = [("a", 20.0, 20.0, 1), ("b", 3.0, 3.0, 1), ("c", 0.175, 0.175, 1), ("d", 0.175, 0.175, 1), ("dear", 30.0, 30.0, 0)]
+    rows = [result("a", 910, scale=None), result("b", 880, scale=None), result("c", 850, scale=None), result("d", 850, scale=None), result("free", 700, scale=None), result("dear", 900, scale=None)]
+    prices = [("a", 12.0, 12.0, 1), ("b", 4.0, 4.0, 1), ("c", 0.5, 0.5, 1), ("d", 0.5, 0.5, 1), ("dear", 40.0, 40.0, 0)]
     board = B.boards(frame(spark, rows), spark.createDataFrame(prices, "model_id string, input_price double, output_price double, context_length bigint"))
     assert {r.model_id for r in board.filter("pareto").collect()} == {"a", "b", "c"}
     assert '"pricing":null' in B.board_payload(board).filter("model_id = 'free'").head().payload
     b = B.bounds(board).head()
-    assert (b.input_price_min, b.input_price_max, b.context_length_min, b.score_max) == (0.175, 30.0, 1, 1326.0)
+    assert (b.input_price_min, b.input_price_max, b.context_length_min, b.score_max) == (0.5, 40.0, 1, 910.0)
 
 
 def test_overview(spark):
-    rows = [result("full", 60, bench="x"), result("full", 60, bench="y"), result("full", 0.1, bench="cer", higher=False, scale=1.0),
-            result("partial", 99, bench="x"), result("lower", 0.2, bench="cer", higher=False, scale=1.0), result("full", 1500, bench="elo", scale=None)]
+    rows = [result("full", 50, bench="x"), result("full", 40, bench="y"), result("full", 0.3, bench="cer", higher=False, scale=1.0),
+            result("partial", 97, bench="x"), result("lower", 0.4, bench="cer", higher=False, scale=1.0), result("full", 1500, bench="elo", scale=None)]
     board = B.boards(frame(spark, rows))
     got = sorted(B.overview(board).collect(), key=lambda r: r.rank)
     assert [(r.model_id, r.rank, r.covered, r.total, r.complete) for r in got] == [("full", 1, 3, 3, True), ("partial", 2, 1, 3, False), ("lower", 3, 1, 3, False)]
-    assert got[0].avg_score_100 == pytest.approx((60 + 60 + 90) / 3)
+    assert got[0].avg_score_100 == pytest.approx((50 + 40 + 70) / 3)
     assert {r.model_id for r in B.overview(board, ["x", "x", "elo", "none"]).collect()} == {"full", "partial"}
 
 

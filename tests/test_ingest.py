@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from scorelake.functions.names import parse_date
 from scorelake.operators import bootstrap, prices, publish, ratings, suites
 from scorelake.operators import docviews as D
 from scorelake.operators import predictions as P
@@ -83,13 +84,14 @@ def test_documents_and_side_files(spark, tmp_path):
 
 
 SUITE = {
-    "O_score.json": ('{"Final Score": 812, "Final Score Norm": 81.2}', dict(columns=["Final Score"]), 812),
-    "S_acc.csv": ('"split","Overall","coarse, x"\n"none","0.6413","0.7"\n', dict(columns=["overall"], multiply="auto"), 64.13),
-    "V_score.csv": ('"Task&Skill","tot","acc"\n"Overall","1000","63.2"\n"FQA","200","60"\n', dict(columns=["acc"], want_column="Task&Skill", want_value="Overall"), 63.2),
-    "M_score.csv": ('"perception","reasoning"\n"1600.5","500.25"\n', dict(columns=["perception", "reasoning"]), 2100.75),
-    "W_score.csv": ('"Score (Strict)","Score (Loose)"\n"45.33%","60%"\n', dict(columns=["Score (Strict)"]), 45.33),
-    "D_acc.tsv": ("split\tOverall\ndev\t0.5\nvalidation\t0.552\n", dict(columns=["Overall"], want_column="split", want_value="validation", multiply="100"), 55.2),
-    "F_acc.csv": ("a,b\n1,2\n3,4\n", dict(columns=["b"]), 2),
+    "z_score.json": ('{"grand total": 640, "grand share": 64.0}', dict(columns=["grand total"]), 640),
+    "r_acc.csv": ('"part","Mean","wide, y"\n"all","0.275","0.3"\n', dict(columns=["mean"], multiply="auto"), 27.5),
+    "t_score.csv": ('"Skill & level","n","hit"\n"Maps","8","50"\n"Total","40","51.5"\n', dict(columns=["hit"], want_column="Skill & level", want_value="Total"), 51.5),
+    "p_score.csv": ('"near","far"\n"210.25","90.5"\n', dict(columns=["near", "far"]), 300.75),
+    "q_score.csv": ('"Pass (all)","Pass (any)"\n"12.5%","70%"\n', dict(columns=["Pass (all)"]), 12.5),
+    "e_acc.tsv": ("fold\tMean\ntrain\t0.1\nheld, out\t0.305\n", dict(columns=["Mean"], want_column="fold", want_value="held, out", multiply="100"), 30.5),
+    "g_acc.csv": ('a,b\n"x\ny ""quoted"", z",6\n3,4\n', dict(columns=["b"]), 6),
+    "long_acc.csv": ('note,b\n"' + "w" * 60_000 + '",7\n', dict(columns=["b"]), 7),
 }
 
 
@@ -121,37 +123,79 @@ def test_publish_is_immutable(spark):
     assert [r.refused for r in gated.collect()] == [False, True, True]
 
 
-def rating(name, org, value, license_="Proprietary", category="ocr", subset="vision_style_control", date="2026-10-02"):
-    return (subset, name, org, license_, value, value - 8, value + 8, 1.0, 500, 1, category, date)
+def rating(name, org, value, license_="Proprietary", category="plans", subset="maps_styled", date="2026-03-14"):
+    return (subset, name, org, license_, value, value - 5, value + 5, 1.0, 70, 1, category, date)
 
 
 def test_rating_import(spark):
-    rows = [rating("claude-x-high", "anthropic", 1326.0), rating("glm", "zai", 1291.0, "MIT"), rating("cheap", "", 1150.0, "-"), rating("old", "openai", 1200.0, category="stale", date="2026-01-09"),
-            rating("claude-x-high", "some lab", 1336.0, subset="vision")]
+    rows = [rating("orbit-large-high", "harbor works", 1210.0), rating("tern", "quay lab", 1190.0, "MIT"), rating("plain", "", 1002.0, "-"), rating("late", "quay lab", 1100.0, category="ships", date="2025-05-05"),
+            rating("orbit-large-high", "harbor works", 1222.0, subset="maps_raw")]
     rows = spark.createDataFrame(rows, "subset string, model_name string, organization string, license string, rating double, rating_lower double, rating_upper double, variance double, "
                                        "vote_count int, rank int, category string, leaderboard_publish_date string")
-    cats = [("ocr", "ocr", "OCR", "ocr", None), ("stale", "stale", "Stale", "chat", "en")]
-    boards = ratings.expand_boards(spark.createDataFrame([("vision", "vision", "Vision", "vision_style_control", "vision", cats)],
+    cats = [("plans", "plans", "Plans", "ocr", None), ("ships", "ships", "Ships", "chat", "en")]
+    boards = ratings.expand_boards(spark.createDataFrame([("maps", "maps", "Maps", "maps_styled", "maps_raw", cats)],
         "arena string, type string, display_name string, subset_styled string, subset_raw string, categories array<struct<key:string,board:string,label:string,category:string,language:string>>"))
     assert {r.benchmark_id: r.state for r in ratings.board_states(rows, boards).collect()} == {
-        "arena-vision-ocr": "live", "arena-vision-ocr-no-style-control": "live", "arena-vision-stale": "retired", "arena-vision-stale-no-style-control": "empty"}
+        "arena-maps-plans": "live", "arena-maps-plans-no-style-control": "live", "arena-maps-ships": "retired", "arena-maps-ships-no-style-control": "empty"}
     got = {r.run_id: r for r in ratings.build_results(rows, boards, "abc").collect()}
-    r = got["arena__arena-vision-ocr__claude-x-high__20261002"]
-    assert (r.org, r.open_weights, r.cases, tuple(r.metrics["arena_score"])) == ("Anthropic", False, 500, (1326, 1318, 1334))
-    assert got["arena__arena-vision-ocr__cheap__20261002"].open_weights is None and got["arena__arena-vision-ocr__cheap__20261002"].org == "Unknown"
-    assert got["arena__arena-vision-ocr-no-style-control__claude-x-high__20261002"].org == "Some Lab" and len(got) == 4
+    r = got["arena__arena-maps-plans__orbit-large-high__20260314"]
+    assert (r.org, r.open_weights, r.cases, tuple(r.metrics["arena_score"])) == ("Harbor Works", False, 70, (1210, 1205, 1215))
+    plain = got["arena__arena-maps-plans__plain__20260314"]
+    assert plain.open_weights is None and plain.org == "Unknown" and got["arena__arena-maps-plans__tern__20260314"].open_weights
+    assert len(got) == 4
 
 
 def test_prices(spark, tmp_path):
-    listing = [{"id": "anthropic/claude-fable-5", "context_length": 1000, "pricing": {"prompt": "0.00001", "completion": "0.00005"}}, {"id": "anthropic/claude-fable-5:batch", "pricing": {"prompt": "0"}},
-               {"id": "z/glm", "pricing": {"prompt": "-1", "completion": "x"}, "top_provider": {"context_length": 7}}, {"id": "~alias/glm"}, {"id": "anthropic/claude-fable-5-20250101", "pricing": {"prompt": "1"}}]
+    listing = [{"id": "acme/quill-2", "context_length": 640, "pricing": {"prompt": "0.000004", "completion": "0.00002"}}, {"id": "acme/quill-2:batch", "pricing": {"prompt": "0"}},
+               {"id": "b/tern", "pricing": {"prompt": "-1", "completion": "y"}, "top_provider": {"context_length": 9}}, {"id": "~alias/tern"}, {"id": "acme/quill-2-20240202", "pricing": {"prompt": "1"}}]
     (tmp_path / "list.json").write_text(json.dumps({"data": listing}, indent=1))
-    models = spark.createDataFrame([("fable", "Claude Fable 5 (high)", None), ("glm", "nothing like it", None), ("e", "E", "openrouter:z/glm"), ("free", "glm", None), ("set", "zzz", None), ("none", "yyy", None)],
+    models = spark.createDataFrame([("quill", "Quill 2 (high)", None), ("tern", "unheard of", None), ("p", "P", "openrouter:b/tern"), ("gratis", "tern", None), ("given", "qqq", None), ("none", "rrr", None)],
                                    "model_id string, display_name string, endpoint string")
-    over = spark.createDataFrame([("free", "none", None, None, None, None), ("set", None, None, 2.0, None, 5)],
+    over = spark.createDataFrame([("gratis", "none", None, None, None, None), ("given", None, None, 3.5, None, 11)],
                                  "model_id string, pricing string, openrouter string, input_price double, output_price double, context_length bigint")
     got = {r.model_id: tuple(r)[1:] for r in prices.resolve(models, readers.price_list(spark, str(tmp_path / "list.json")), over).collect()}
-    assert got == {"fable": (10.0, 50.0, 1000, "openrouter:anthropic/claude-fable-5"), "glm": (None, None, 7, "openrouter:z/glm"), "e": (None, None, 7, "openrouter:z/glm"), "set": (2.0, None, 5, "catalog")}
+    assert got == {"quill": (4.0, 20.0, 640, "openrouter:acme/quill-2"), "tern": (None, None, 9, "openrouter:b/tern"), "p": (None, None, 9, "openrouter:b/tern"), "given": (3.5, None, 11, "catalog")}
+
+
+def test_ids_do_not_depend_on_splits(spark, tmp_path):
+    for name, n in (("a", 1), ("b", 900), ("c", 3)):  # files of unequal size: scans take the largest first
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"text": f"{name}{i} " + "x" * 40}) + "\n" for i in range(n)))
+    seen = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seen.append({r.sample_id: r.references[0].split()[0] for r in readers.manifest(spark, str(tmp_path), "text string").collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {str(i): x for i, x in enumerate(["a0", *(f"b{i}" for i in range(900)), "c0", "c1", "c2"])}
+    assert seen == [want, want]
+
+
+def test_dates(spark):
+    given = {"2026": None, "2026-10": None, "12:30": None, "2026-10-02": "2026-10-02 00:00:00", "2026-10-02T01:00:00+01:00": "2026-10-02 00:00:00", "soon": None}
+    rows = spark.createDataFrame([(k,) for k in given], "d string").select("d", parse_date(F.col("d")).cast("string").alias("t"))
+    assert {r.d: r.t for r in rows.collect()} == given
+
+
+def test_a_batch_may_contradict_itself(spark):
+    rows = [("a", {"x": 1.0, "y": 2.0}), ("a", {"y": 2.0, "x": 1.0}), ("b", {"x": 1.0}), ("b", {"x": 2.0}), ("c", {"x": 1.0})]
+    new = spark.createDataFrame(rows, "run_id string, metrics map<string,double>")
+    old = spark.createDataFrame([("c", {"x": 1.0})], new.schema)
+    got = sorted((r.run_id, r.status) for r in publish.publish_status(new, old, ["run_id", "metrics"], force=True).collect())
+    assert got == [("a", "published"), ("a", "unchanged"), ("b", "conflict"), ("b", "conflict"), ("c", "unchanged")]
+
+
+def test_current_skips_gaps(spark, tmp_path):
+    for version in (0, 1, 3, 10):
+        spark.range(version).write.parquet(f"{tmp_path}/batch={version:09d}")
+    assert jobs.current(spark, str(tmp_path)).count() == 10
+
+
+def test_run_keys_come_from_folders(spark, tmp_path):
+    rows = spark.createDataFrame([("a b:c+d%", "s", True)], "run_key string, sample_id string, ok boolean")
+    writers.append_predictions(rows, str(tmp_path))
+    assert [(r.run_key, r.sample_id) for r in readers.prediction_log(spark, str(tmp_path)).collect()] == [("a b:c+d%", "s")]
 
 
 def test_bootstrap_tracks_the_normal_interval(spark):
