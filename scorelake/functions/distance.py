@@ -58,23 +58,26 @@ def _long_distances(pred: pd.Series, refs: pd.Series, sep: pd.Series) -> pd.Seri
     def one(p, rs, s):
         if p is None or rs is None:
             return None
-        if not s:
-            return [bit_distance(p, r) for r in rs]
-        units = p.split(s) if p else []
-        return [bit_distance(units, r.split(s) if r else []) for r in rs]
+        split = lambda x: x if not s else x.split(s) if x else []
+        units = split(p)
+        return [None if r is None else bit_distance(units, split(r)) for r in rs]
 
     return pd.Series([one(p, rs, s) for p, rs, s in zip(pred, refs, sep)])
 
 
 def ref_distances(pred: Column, refs: Column, sep: str = "") -> Column:
     """Distance from ``pred`` to every text of ``refs``; with ``sep`` over the units it
-    separates (words, aksharas) instead of code points."""
+    separates (words, aksharas) instead of code points. A NULL text has a NULL distance. Equal texts
+    need no comparison; short ones are compared natively."""
+    same = F.coalesce(F.forall(refs, lambda r: r == pred), F.lit(False))
+    zero = F.transform(refs, lambda r: F.lit(0))
     if sep:
-        return _long_distances(pred, refs, F.lit(sep))
+        return F.when(same, zero).otherwise(_long_distances(F.when(~same, pred), F.when(~same, refs), F.lit(sep)))
     longest = F.array_max(F.transform(refs, F.length))
-    short = F.length(pred).cast("bigint") * longest <= SHORT_CELLS
-    far = _long_distances(F.when(~short, pred), F.when(~short, refs), F.lit(""))
-    return F.when(short, F.transform(refs, lambda r: F.levenshtein(pred, r))).otherwise(far)
+    short = F.coalesce(F.length(pred).cast("bigint") * longest, F.lit(0)) <= SHORT_CELLS
+    native = same | short
+    far = _long_distances(F.when(~native, pred), F.when(~native, refs), F.lit(""))
+    return F.when(same, zero).when(short, F.transform(refs, lambda r: F.levenshtein(pred, r))).otherwise(far)
 
 
 def edit_distance(a: Column, b: Column, sep: str = "") -> Column:

@@ -247,11 +247,14 @@ def bounds(board: DataFrame) -> DataFrame:
         f(c).alias(f"{n}_{s}") for n, c in spans.items() for s, f in (("min", F.min), ("max", F.max))])
 
 
-def overview(board: DataFrame, selected: Sequence[str] | None = None) -> DataFrame:
+def overview(board: DataFrame, selected: Sequence[str] | None = None, category: str | None = None) -> DataFrame:
     """Mean 0-100 score and mean position per model over the bounded boards asked for (all
-    present ones by default). More coverage first, then the mean, then the model id."""
+    present ones by default) that are in ``category``, if given; none asked for or none in common
+    gives no rows. More coverage first, then the mean, then the model id."""
     bounded = board.filter(F.col("scale_max").isNotNull())
-    if selected:
+    if category is not None:
+        bounded = bounded.filter(F.col("category") == category)
+    if selected is not None:
         bounded = bounded.filter(F.col("benchmark_id").isin(list(dict.fromkeys(selected))))
     bounded = materialise(bounded.select("benchmark_id", "model_id", "score", "score_100", "rank", "position"))
     total = bounded.select("benchmark_id").distinct().count()

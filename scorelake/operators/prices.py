@@ -63,6 +63,12 @@ def resolve(models: DataFrame, price_list: DataFrame, overrides: DataFrame) -> D
     return out.select("model_id", *[F.coalesce(f"_{f}", f).alias(f) for f in FIELDS], source.alias("source"))
 
 
+def last_given(models: DataFrame, order: str) -> DataFrame:
+    """One row a model id: the last by ``order`` wins."""
+    columns = [c for c in models.columns if c not in ("model_id", order)]
+    return models.groupBy("model_id").agg(F.max_by(F.struct(*columns), order).alias("row")).select("model_id", "row.*")
+
+
 def coverage(models: DataFrame, priced: DataFrame) -> DataFrame:
     """How many models there are, are priced, and are missing."""
     flags = models.select("model_id").distinct().join(priced.select("model_id", F.lit(1).alias("_p")), "model_id", "left")

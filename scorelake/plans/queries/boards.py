@@ -120,6 +120,18 @@ def w_overview(t):
                       F.round("avg_position", 3).alias("avg_position"), "covered", "total", "complete")
 
 
+@query("f_overview_category", comparable() + RANKED + f""", cells AS (SELECT *, {S100} AS s100 FROM ranked WHERE scale_max IS NOT NULL AND benchmark_id IN ('brand-12', 'brand-21', 'brand-22', 'brand-33')
+        AND cast(substr(benchmark_id, 7) AS int) % 3 = 0),
+    per AS (SELECT model_id, avg(s100) AS a, count(*) AS covered FROM cells GROUP BY model_id)
+    SELECT model_id, row_number() OVER (ORDER BY covered DESC, round(a, 9) DESC, model_id) AS rank, round(a, 4) AS avg_score_100, covered, (SELECT count(DISTINCT benchmark_id) FROM cells) AS total FROM per""")
+def f_overview_category(t):
+    """Boards asked for, cut to a category; a category without any of them adds nothing."""
+    board = B.boards(results(t), t.prices)
+    asked = ["brand-12", "brand-21", "brand-22", "brand-33"]
+    out = B.overview(board, asked, "ocr").unionByName(B.overview(board, ["brand-11"], "ocr"))
+    return out.select("model_id", "rank", F.round("avg_score_100", 4).alias("avg_score_100"), "covered", "total")
+
+
 @query("a_benchmark_listing", """WITH reps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY benchmark_id, model_id
         ORDER BY source_kind = 'measured' DESC, cases < full_cases, created_at DESC, run_id) AS rn FROM {results}) x WHERE rn = 1),
     cat AS (SELECT DISTINCT lower(replace(p_brand, '#', '_x_')) AS benchmark_id FROM {part} WHERE p_size > 48

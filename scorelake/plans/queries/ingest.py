@@ -209,6 +209,11 @@ def src_columnar_ids(t):
            CASE WHEN p_size % 10 <> 0 AND NOT (l_linenumber = 1 AND l_quantity < 20) AND l_quantity <= 40 AND l_linenumber <> 2 THEN cast(l_suppkey AS string) || p_brand || cast(l_shipdate AS string) END AS run_id
     FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) x GROUP BY 1""")
 def v_import(t):
+    return _imported(t).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(
+        F.count("*").alias("n"), F.sum("cases").alias("cases"), F.count_distinct(F.when(F.col("reason").isNull(), F.col("run_id"))).alias("runs"))
+
+
+def _imported(t):
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     bench = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
     entries = rows.select(
@@ -218,9 +223,25 @@ def v_import(t):
         F.when(F.col("l_linenumber") == 2, "someday").otherwise(F.date_format("l_shipdate", "yyyy/MM/dd")).alias("date"), F.lit("board x").alias("harness"))
     catalog = t.part.select(bench.alias("benchmark_id")).distinct().withColumns(
         {"primary_metric": F.lit("score"), "scale_max": F.lit(40.0), "full_cases": F.lit(40).cast("bigint")})
-    out = U.build_imported(entries, catalog)
-    return out.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(
-        F.count("*").alias("n"), F.sum("cases").alias("cases"), F.count_distinct(F.when(F.col("reason").isNull(), F.col("run_id"))).alias("runs"))
+    return U.build_imported(entries, catalog)
+
+
+@query("a_import_counts", """WITH r AS (SELECT CASE WHEN p_size % 10 = 0 OR (l_linenumber = 1 AND l_quantity < 20) OR l_quantity > 40 OR l_linenumber = 2 THEN 'failed' END AS bad,
+        cast(l_suppkey AS string) || p_brand || cast(l_shipdate AS string) AS id, l_quantity AS q FROM {lineitem} JOIN {part} ON l_partkey = p_partkey),
+    good AS (SELECT id, q, count(*) AS n FROM r WHERE bad IS NULL GROUP BY ALL), torn AS (SELECT id FROM good GROUP BY id HAVING count(*) > 1)
+    SELECT status, cast(sum(n) AS bigint) AS n FROM (
+        SELECT 'failed' AS status, count(*) AS n FROM r WHERE bad IS NOT NULL UNION ALL SELECT 'failed', sum(n) FROM good WHERE id IN (FROM torn)
+        UNION ALL SELECT 'published', count(*) FROM good WHERE id NOT IN (FROM torn) UNION ALL SELECT 'unchanged', sum(n - 1) FROM good WHERE id NOT IN (FROM torn)) x GROUP BY 1 HAVING sum(n) > 0""")
+def a_import_counts(t):
+    """A whole import into an empty store: entries that contradict each other fail."""
+    imported = _imported(t)
+    return U.import_counts(imported, imported.limit(0), ["run_id", "score"])
+
+
+@query("u_last_models", """SELECT 'm-' || cast(l_suppkey AS string) AS model_id, arg_max(l_partkey, cast(l_orderkey AS bigint) * 10 + l_linenumber) AS endpoint FROM {lineitem} GROUP BY l_suppkey""")
+def u_last_models(t):
+    seen = t.lineitem.select(F.concat(F.lit("m-"), F.col("l_suppkey")).alias("model_id"), F.col("l_partkey").alias("endpoint"), (F.col("l_orderkey").cast("bigint") * 10 + F.col("l_linenumber")).alias("at"))
+    return R.last_given(seen, "at")
 
 
 @query("j_store_diff", """WITH o AS (SELECT doc_id, n_chars % 5 AS v FROM {documents} WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, n_chars % 5 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS v FROM {documents} WHERE doc_id % 5 <> 0)
@@ -407,13 +428,38 @@ def st_latest(t):
     return t.spark.read.parquet(path).select("run_key", "sample_id", "seq", "ok")
 
 
-@query("st_progress", """SELECT run_key, cast(floor(epoch(ts) / 3600) AS bigint) AS hour, count(*) AS completed, count(*) FILTER (NOT ok) AS errors, count(*) FILTER (attempts > 1) AS retried
-    FROM {prediction_log} GROUP BY ALL""")
+_TICKS = """SELECT run_key, cast(floor(epoch(ts) / 15) * 15 AS bigint) AS tick, count(*) AS completed, count(*) FILTER (NOT ok) AS errors, count(*) FILTER (attempts > 1) AS retried
+    FROM {prediction_log} GROUP BY ALL"""
+
+
+def _ticks(t):
+    """Fifteen-second ticks appended to files. Behind the log comes a row of the next day, which closes the
+    last ticks and stays open itself, and then one that is too late, which the watermark drops."""
+    path, out = _folder(t, "log"), _folder(t, "ticks")
+    log = t.prediction_log
+    first, last = log.agg(F.min("ts"), F.max("ts")).head()
+    log.coalesce(1).write.parquet(path)
+    one = log.orderBy("seq").limit(1)
+    late = one.withColumns({"ts": F.lit(first).cast(log.schema["ts"].dataType), "run_key": F.lit("too late")})
+    clock = one.withColumns({"ts": (F.lit(last) + F.expr("INTERVAL 1 DAY")).cast(log.schema["ts"].dataType), "run_key": F.lit("clock")})
+    for row in (clock, late):
+        row.coalesce(1).write.mode("append").parquet(path)
+    ticks = jobs.progress(jobs.file_stream(t.spark, path, log.schema, files_per_batch=1))
+    _finish(ticks.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", _folder(t, "cp")).trigger(availableNow=True).start())
+    return t.spark.read.schema(ticks.schema).parquet(out)
+
+
+@query("st_progress", _TICKS)
 def st_progress(t):
-    name = "ticks_" + uuid.uuid4().hex
-    ticks = jobs.progress(_stream(t, t.prediction_log), every="1 hour", late="10 days")
-    _finish(ticks.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _folder(t, "cp")).trigger(availableNow=True).start())
-    return t.spark.table(name).select("run_key", F.floor(F.unix_timestamp("tick") / 3600).alias("hour"), "completed", "errors", "retried")
+    return _ticks(t).select("run_key", F.unix_timestamp("tick").alias("tick"), "completed", "errors", "retried")
+
+
+@query("w_progress_estimate", f"""WITH ticks AS ({_TICKS}), d AS (SELECT run_key, cast(sum(completed) AS bigint) AS done, cast(sum(errors) AS bigint) AS errors, avg(completed / 15.0) AS rate FROM ticks GROUP BY 1),
+    e AS (SELECT run_key, count(*) * 40 AS expected FROM {{log_samples}} GROUP BY 1)
+    SELECT e.run_key, coalesce(done, 0) AS done, errors, expected, round(greatest(0, (expected - coalesce(done, 0)) / rate), 3) AS eta_s FROM e LEFT JOIN d USING (run_key)""")
+def w_progress_estimate(t):
+    expected = t.log_samples.groupBy("run_key").agg((F.count("*") * 40).alias("expected"))
+    return jobs.estimate(_ticks(t), expected).select("run_key", "done", "errors", "expected", F.round("eta_s", 3).alias("eta_s"))
 
 
 @query("st_failure_watch", f"WITH {_STREAKS} SELECT run_key, max(streak) AS longest, min(CASE WHEN streak >= 3 THEN seq END) AS aborted_at FROM streaks GROUP BY ALL")
