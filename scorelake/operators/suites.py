@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.functions.names import run_id, slug
+
 FAILED_PREFIX = "Failed to obtain answer"
 OVERALL = ("none", "Overall", "overall")
 
@@ -59,3 +61,21 @@ def latest_runs(files: DataFrame) -> DataFrame:
     """``files``: model, run, modified: the newest run per model."""
     order = Window.partitionBy("model").orderBy(F.desc("modified"), F.desc("run"))
     return files.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def build_results(scores: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Suite headline scores as flat measured results with a reason where one cannot be published.
+    ``scores``: model_id, bench, score, cases, failed, created_at. ``catalog``: benchmark_id, category,
+    primary_metric, scale_max, full_cases."""
+    known = scores.join(catalog.withColumnRenamed("benchmark_id", "bench"), "bench", "left")
+    reason = F.when(F.col("primary_metric").isNull(), "unknown benchmark").when(F.col("score").isNull(), "no score").when(
+        ~suite_range_ok(F.col("score"), F.col("scale_max")), "score outside scale")
+    return known.select(
+        run_id(slug(F.lit("suite")), slug(F.col("model_id")), slug(F.col("bench")), F.date_format("created_at", "yyyyMMdd")).alias("run_id"), "created_at", "model_id",
+        F.col("bench").alias("benchmark_id"), "category", F.lit("measured").alias("source_kind"), "cases", F.col("failed").alias("errors"),
+        F.create_map(F.coalesce("primary_metric", F.lit("score")), F.col("score")).alias("metrics"), "primary_metric", "scale_max", "full_cases", reason.alias("reason"))
+
+
+def suite_range_ok(score: Column, scale_max: Column) -> Column:
+    """Suite scores may overshoot the scale by rounding."""
+    return scale_max.isNull() | score.between(F.lit(0.0), scale_max * 1.0001)

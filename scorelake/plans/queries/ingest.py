@@ -16,6 +16,7 @@ from scorelake.operators import prices as R
 from scorelake.operators import publish as U
 from scorelake.operators import ratings as G
 from scorelake.operators import suites as Z
+from scorelake.plans.evaluation import BenchmarkSpec, evaluate
 from scorelake.plans.queries.boards import RANKED, comparable
 from scorelake.plans.queries.boards import results as flat_results
 from scorelake.plans.workload import query
@@ -298,6 +299,30 @@ def p_rating_results(t):
     return out.select("run_id", "org", "open_weights", F.round(value["value"], 6).alias("rating"), F.round(value["ci_low"], 6).alias("ci_low"), "cases")
 
 
+@query("u_results_union", f"""WITH s AS (SELECT s_suppkey AS k FROM {{supplier}}), {_ARENA_SQL}, live AS (SELECT s.* FROM snaps s JOIN (SELECT subset, category, max(day) AS mine FROM snaps GROUP BY 1, 2) m USING (subset, category)
+        JOIN (SELECT subset, max(day) AS newest FROM snaps GROUP BY 1) n USING (subset) WHERE category IN ('urgent', 'high', 'low') AND mine = newest AND o_custkey > 0)
+    SELECT 'plain' AS benchmark_id, 'measured' AS source_kind, count(DISTINCT run_key) AS n FROM {{answers}}
+    UNION ALL SELECT 'brand-import', 'imported', count(*) FROM s WHERE k % 50 <= 40
+    UNION ALL SELECT 'suite-a', 'measured', count(*) FROM s WHERE k % 20 < 19
+    UNION ALL SELECT 'rated', 'imported', count(*) FROM live""")
+def u_results_union(t):
+    """Measured runs, imports, suites and ratings in one stored shape, published and read back as boards' rows."""
+    path, at = _folder(t, "store"), F.lit("2026-01-02").cast("timestamp")
+    k = F.col("s_suppkey")
+    log = t.answers.withColumns({"references": F.array("reference"), "seq": F.lit(0)}).select("run_key", "sample_id", "seq", "ok", "output", "references")
+    measured, _ = evaluate(BenchmarkSpec("plain", "exact_match", ("exact_match",), postprocess=False), log)
+    catalog = t.spark.createDataFrame([("brand-import", "score", 40.0, 10, "ocr"), ("suite-a", "acc", 100.0, 20, "math")], "benchmark_id string, primary_metric string, scale_max double, full_cases bigint, category string")
+    entries = t.supplier.select(F.concat(F.lit("m-"), k).alias("model_id"), F.lit("Brand-Import").alias("benchmark"), (k % 50).cast("string").alias("score"), F.create_map(F.lit("x"), F.lit(1.0)).alias("metrics"),
+                                F.lit(10).cast("bigint").alias("cases"), F.lit("2026-01-02").alias("date"), F.lit("h").alias("harness"))
+    suite = t.supplier.select(F.concat(F.lit("m-"), k).alias("model_id"), F.lit("suite-a").alias("bench"), F.when(k % 20 == 19, 101.0).otherwise(100.005).alias("score"), F.lit(20).cast("bigint").alias("cases"), F.lit(1).cast("bigint").alias("failed"), at.alias("created_at"))
+    flat = [measured, U.build_imported(entries, catalog), Z.build_results(suite, catalog), G.build_results(_snapshots(t), _boards(t)).withColumn("category", F.lit("ocr"))]
+    rows = [S.nest_results(f.filter("reason IS NULL") if "reason" in f.columns else f) for f in flat]
+    U.publish(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), path)
+    back = S.flatten_results(readers.result_store(t.spark, path)[0])
+    bench = F.when(F.col("benchmark_id").startswith("arena-"), "rated").otherwise(F.col("benchmark_id"))
+    return back.groupBy(bench.alias("benchmark_id"), "source_kind").agg(F.count("*").alias("n"))
+
+
 # --- suites -------------------------------------------------------------------------------
 
 
