@@ -148,9 +148,12 @@ def _stored(t):
                     source.alias("source"), "cases", "errors", "metrics")
 
 
-@query("v_results", """WITH p AS (SELECT run_id, CASE (cases + errors * 7) % 17 WHEN 3 THEN 'model_id' WHEN 5 THEN 'primary_missing' WHEN 7 THEN 'scale_max' WHEN 9 THEN 'created_at' END AS a,
+_PROBLEMS = """WITH p AS (SELECT run_id, CASE (cases + errors * 7) % 17 WHEN 3 THEN 'model_id' WHEN 5 THEN 'primary_missing' WHEN 7 THEN 'scale_max' WHEN 9 THEN 'created_at' END AS a,
         CASE WHEN errors > cases THEN 'errors_exceed_cases' END AS b FROM {results})
-    SELECT run_id, CASE WHEN a IN ('primary_missing', 'created_at') THEN concat_ws(',', b, a) ELSE concat_ws(',', a, b) END AS problems FROM p WHERE a IS NOT NULL OR b IS NOT NULL""")
+    SELECT run_id, CASE WHEN a IN ('primary_missing', 'created_at') THEN concat_ws(',', b, a) ELSE concat_ws(',', a, b) END AS problems FROM p WHERE a IS NOT NULL OR b IS NOT NULL"""
+
+
+@query("v_results", _PROBLEMS)
 def v_results(t):
     checked = _stored(t).select("run_id", S.result_problems().alias("p")).filter(F.size("p") > 0)
     return checked.select("run_id", F.array_join("p", ",").alias("problems"))
@@ -437,7 +440,7 @@ def _stream(t, df, parts=3):
     part = F.floor((F.col("seq") - low) * parts / (high - low + 1))
     for i in range(parts):
         df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return jobs.file_stream(t.spark, path, df.schema)
+    return jobs.file_stream(t.spark, path, df.schema, files_per_batch=1)
 
 
 def _finish(q):
@@ -501,5 +504,29 @@ def st_boards(t):
     store, stream = _folder(t, "store"), _folder(t, "stream")
     arrived = flat_results(t)
     arrived.repartitionByRange(2, "run_id").write.parquet(stream)
-    _finish(jobs.refresh_boards(jobs.file_stream(t.spark, stream, arrived.schema), store, _folder(t, "cp"), prices=t.prices, every=None))
+    _finish(jobs.refresh_boards(jobs.file_stream(t.spark, stream, arrived.schema, files_per_batch=1), store, _folder(t, "cp"), prices=t.prices, every=None))
     return t.spark.read.parquet(f"{store}/boards").select("benchmark_id", "model_id", "rank", "rank_worst", "position")
+
+
+def _polled(t):
+    """Stored results, some broken, arriving in two files and split into boards and quarantine."""
+    store, stream = _folder(t, "store"), _folder(t, "stream")
+    arrived = _stored(t)
+    arrived.repartitionByRange(2, "run_id").write.json(stream)
+
+    def split(batch):
+        checked = batch.withColumn("problems", S.result_problems())
+        return S.flatten_results(checked.filter(F.size("problems") == 0)), checked.filter(F.size("problems") > 0).select("run_id", "problems")
+
+    _finish(jobs.refresh_boards(jobs.file_stream(t.spark, stream, arrived.schema, "json", 1), store, _folder(t, "cp"), split, every=None))
+    return store
+
+
+@query("st_quarantine", _PROBLEMS)
+def st_quarantine(t):
+    return t.spark.read.parquet(f"{_polled(t)}/quarantine").select("run_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query("st_generations", f"WITH bad AS ({_PROBLEMS}) SELECT 2 AS generations, count(*) - (SELECT count(*) FROM bad) AS results FROM {{results}}")
+def st_generations(t):
+    return t.spark.read.parquet(f"{_polled(t)}/generations").agg(F.count_distinct("generation").alias("generations"), F.sum("results").alias("results"))
