@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mixture."""
-    done = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    done = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), spans=False)
     return done.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import rows
+from scorelake.llm.common import frugal, rows
 from scorelake.llm.sampling import bounded_sample, document_frequencies, held_out
 from scorelake.llm.words import mix, stream
 
@@ -141,7 +141,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     frequency, n = document_frequencies(known.select("text"), all_features, SLOTS)
     idf = np.log((1 + n) / (1 + frequency)) + 1
     sample = bounded_sample(known, "lang", per_language).orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").select("lang", "text")
-    table = sample.mapInArrow(_sampled, "lang string, slots array<int>, counts array<int>").toArrow()
+    table = sample.mapInArrow(frugal(_sampled), "lang string, slots array<int>, counts array<int>").toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
     number = {x: i for i, x in enumerate(languages)}
     ready = [(np.array(s), weigh(np.array(s), np.array(c), idf), number[x]) for x, s, c in zip(*(table.column(k).to_pylist() for k in range(3)), strict=True) if s]
@@ -166,7 +166,7 @@ def _predicts(model: Model):
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row, from its text alone."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_predicts(model), "doc_id long, lang_pred string, score double")
+    return texts.mapInArrow(frugal(_predicts(model)), "doc_id long, lang_pred string, score double")
 
 
 def confident(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -178,4 +178,4 @@ def confident(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             found = [model.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import pieces, rows
+from scorelake.llm.common import frugal, pieces, rows
 
 #: The phrases and labels that every scan must report.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -306,5 +306,5 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def license_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base places and the resolved detections (word spans) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_scan, "doc_id long, n_words long, base array<struct<word: long, label: string>>, "
+    return texts.mapInArrow(frugal(_scan), "doc_id long, n_words long, base array<struct<word: long, label: string>>, "
                                    "found array<struct<start: long, end: long, label: string, confidence: double>>")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import materialise, pieces, rows
+from scorelake.llm.common import frugal, materialise, pieces, rows
 from scorelake.llm.words import mix, shingles, stream, word_hashes
 
 BANDS, ROWS = 50, 5
@@ -134,7 +134,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(_confirm, "a long, b long")
+    return both.mapInArrow(frugal(_confirm), "a long, b long")
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node with a link: label is the least node of its component. Each round
     costs a few shuffles of the contracted links; their number falls to one per node, and the rounds
     are logarithmic in a component's width (two for stars)."""
-    edges = materialise(links.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long"))
+    edges = materialise(links.select("a", "b").where("a <> b").mapInArrow(frugal(_contract), "a long, b long"))
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -249,13 +249,13 @@ def _between(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFra
     held = full.select("key", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(False).alias("probe"), *columns)
     probes = full.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *columns)
     dealt = held.unionByName(probes).repartition("key", "block").sortWithinPartitions("key", "block", "probe")
-    return dealt.mapInArrow(_near, "a long, b long")
+    return dealt.mapInArrow(frugal(_near), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(texts.mapInArrow(_sign, "doc_id long, n_shingles long, shape binary, signature binary, bands array<long>"))
+    signed = materialise(texts.mapInArrow(frugal(_sign), "doc_id long, n_shingles long, shape binary, signature binary, bands array<long>"))
     classes = materialise(signed.where("shape is not null").groupBy("shape").agg(F.min("doc_id").alias("node")))
     heads = signed.join(classes, (signed["shape"] == classes["shape"]) & (signed["doc_id"] == classes["node"]), "leftsemi")
 
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
     members = materialise(keyed.join(buckets, "key").select("key", "node", "low"))
     nodes = members.select("node").distinct()
-    sets = materialise(texts.join(nodes, texts["doc_id"] == nodes["node"], "leftsemi").mapInArrow(_pack, "node long, shingles binary"))
+    sets = materialise(texts.join(nodes, texts["doc_id"] == nodes["node"], "leftsemi").mapInArrow(frugal(_pack), "node long, shingles binary"))
     tried = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     labels = materialise(components(confirmed(tried, sets)))
     known = sets.join(signed.where("shape is not null").select(F.col("doc_id").alias("node"), "n_shingles", "signature", "bands"), "node")

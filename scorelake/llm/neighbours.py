@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import rows
+from scorelake.llm.common import frugal, rows
 from scorelake.llm.sampling import bounded_sample, document_frequencies, held_out
 from scorelake.llm.words import mix, stream, windows, word_hashes
 
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     chosen = bounded_sample(known, "label", per_label).select("doc_id", "label")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most per_label rows of each label
     ordered = texts.orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id", "text").select("label", "text")
-    table = ordered.mapInArrow(_sampled, "label int, slots array<int>, counts array<int>").toArrow()
+    table = ordered.mapInArrow(frugal(_sampled), "label int, slots array<int>, counts array<int>").toArrow()
     dense = np.zeros((len(table), TERMS), np.float32)
     for i, (slots, counts) in enumerate(zip(table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True)):
         if slots:
@@ -154,4 +154,4 @@ def _scores(model: Model):
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row, from its text alone."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_scores(model), "doc_id long, score double")
+    return texts.mapInArrow(frugal(_scores(model)), "doc_id long, score double")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import pieces as parts_of
-from scorelake.llm.common import rows
+from scorelake.llm.common import frugal, rows
 
 SIGN = "▁"  # how a model writes a space
 
@@ -176,7 +176,7 @@ class Normaliser:
 
 
 class Codec:
-    LIMIT = 500_000  # remembered words
+    LIMIT = 200_000  # remembered words
 
     def __init__(self, path: str):
         import sentencepiece
@@ -250,7 +250,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32), flat)
 
 
-def _encodes(path: str, lists: bool):
+def _encodes(path: str, with_ids: bool, with_spans: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for whole in batches:
@@ -260,17 +260,17 @@ def _encodes(path: str, lists: bool):
                 spans = [tool.spans(t, x) for t, x in zip(texts, ids, strict=True)]
                 decoded = tool.decode(ids)
                 none = pa.nulls(len(texts), pa.list_(pa.int32()))
-                yield rows(_SCHEMA, batch.column(0), [len(x) for x in ids], *([_lists(ids), _lists([s[:, 0] for s in spans]), _lists([s[:, 1] for s in spans])] if lists else [none] * 3),
+                yield rows(_SCHEMA, batch.column(0), [len(x) for x in ids], _lists(ids) if with_ids else none, *([_lists([s[:, k] for s in spans]) for k in (0, 1)] if with_spans else [none] * 2),
                            [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
                            [len(t.encode()) for t in texts], [bool((s[1:, 0] == s[:-1, 1]).all()) for s in spans])
 
     return encode
 
 
-def encoded(docs: DataFrame, path: str, lists: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str, ids: bool = True, spans: bool = True) -> DataFrame:
     """For every row: doc_id, n_tokens, the ids and their byte spans in the text (starts, ends; null
-    lists if ``lists`` is false), digests of the ids and of the decoded text, the text's bytes, and
+    lists where not asked for), digests of the ids and of the decoded text, the text's bytes, and
     whether the spans cover it without gaps."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_encodes(path, lists), "doc_id long, n_tokens long, ids array<int>, starts array<int>, ends array<int>, "
+    return texts.mapInArrow(frugal(_encodes(path, ids, spans)), "doc_id long, n_tokens long, ids array<int>, starts array<int>, ends array<int>, "
                                                    "ids_sha256 string, decoded_sha256 string, n_bytes long, covered boolean")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import materialise, pieces
+from scorelake.llm.common import frugal, materialise, pieces
 from scorelake.llm.words import SPACE, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -104,7 +104,7 @@ def measured(docs: DataFrame, name: str = "figures") -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, fields)])
     figures = pa.struct([(c, pa.int64()) for c in FEATURES + SHAPES])
     layout = pa.schema([*((c, pa.null()) for c in docs.columns), (name, figures)])
-    return docs.mapInArrow(_measure(docs.columns.index("text"), layout), schema)
+    return docs.mapInArrow(frugal(_measure(docs.columns.index("text"), layout)), schema)
 
 
 def _share(part: str, whole: str):

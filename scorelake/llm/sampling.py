@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import rows
+from scorelake.llm.common import frugal, rows
 
 
 PART = 256  # texts handled at a time
@@ -48,7 +48,7 @@ def document_frequencies(texts: DataFrame, features, size: int) -> tuple[np.ndar
         seen = np.flatnonzero(total)
         yield rows(_COUNTS, np.append(seen, size), np.append(total[seen], n))
 
-    sums = texts.mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    sums = texts.mapInArrow(frugal(count), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size + 1, np.int64)
     for r in sums:
         out[r["feature"]] = r["n"]

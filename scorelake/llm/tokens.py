@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorelake.llm import files
-from scorelake.llm.common import pieces, rows
+from scorelake.llm.common import frugal, pieces, rows
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -308,7 +308,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(_writes(folder.rstrip("/"), vocabulary, end_id, file_ids), "path string, n_docs long, n_ids long")
+    return dealt.mapInArrow(frugal(_writes(folder.rstrip("/"), vocabulary, end_id, file_ids)), "path string, n_docs long, n_ids long")
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,4 +347,4 @@ def read_token_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in a folder's files; ids must fit 32 bits."""
     placed = token_files(spark, folder).select("path", "start")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "path").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(n, "path").mapInArrow(frugal(_digests), "doc_id long, start long, n_tokens long, ids_crc32 long")

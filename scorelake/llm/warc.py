@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm import files
-from scorelake.llm.common import pieces, rows
+from scorelake.llm.common import frugal, pieces, rows
 
 MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 256 << 20
@@ -120,7 +120,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, file_bytes: int =
     """Archive every row (page_id, url, html). Returns a lazy (path, records, bytes): writing happens
     when it is read."""
     files.Store(folder)  # exists even without rows
-    return plan(pages, least).select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_writes(folder.rstrip("/"), file_bytes), "path string, records long, bytes long")
+    return plan(pages, least).select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(frugal(_writes(folder.rstrip("/"), file_bytes)), "path string, records long, bytes long")
 
 
 class Record(NamedTuple):
@@ -231,7 +231,7 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES,
     found = files.listing(spark, folder, "*.warc.gz")
     ranges = found.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.withColumn("stop", F.col("start") + split_bytes)
-    return ranges.repartition("path", "start").mapInArrow(_reads(payload), _READ_DDL)
+    return ranges.repartition("path", "start").mapInArrow(frugal(_reads(payload)), _READ_DDL)
 
 
 def page_of(record_id: Column) -> Column:
