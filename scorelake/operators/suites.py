@@ -25,30 +25,36 @@ def number(c: Column) -> Column:
 
 
 def headline_scores(cells: DataFrame, specs: DataFrame) -> DataFrame:
-    """``cells``: file, row, column, value. ``specs``: file, bench, columns (summed), want_column
-    and want_value (optional row filter), multiply ("auto" or a number).
+    """(file, bench, score, reason) for every spec: a score, or why there is none. ``cells``: file, row,
+    column, value. ``specs``: file, bench, columns (summed), multiply ("auto" or a number), and an optional row
+    filter, either the map ``want`` of columns to values that must all match or one want_column and want_value.
 
     The row: the first that matches the filter; without a filter the only one, else the
     first whose ``split`` is none or overall, else the first."""
-    key = F.lower(F.trim("column"))
-    tall = cells.withColumn("key", key)
-    rows = tall.join(specs, "file")
-    filters = rows.filter(F.lower("want_column") == F.col("key")).filter(F.trim("value") == F.col("want_value"))
-    matching = filters.groupBy("file", "bench").agg(F.min("row").alias("_wanted"))
+    if "want" not in specs.columns:
+        specs = specs.withColumn("want", F.when(F.col("want_column").isNotNull(), F.create_map("want_column", "want_value")))
+    specs = specs.withColumn("_asked", F.coalesce(F.size(F.map_keys("want")), F.lit(0)))
+    tall = cells.withColumn("key", F.lower(F.trim("column")))
+    asked = specs.filter("_asked > 0").select("file", "bench", "_asked", F.explode("want").alias("key", "_value")).withColumn("key", F.lower("key"))
+    hits = asked.join(tall, ["file", "key"]).filter(F.trim("value") == F.col("_value")).groupBy("file", "bench", "row", "_asked").agg(
+        F.count_distinct("key").alias("_met")).filter("_met = _asked")
+    matching = hits.groupBy("file", "bench").agg(F.min("row").alias("_wanted"))
     split = tall.filter((F.col("key") == "split") & F.trim("value").isin(*OVERALL)).groupBy("file").agg(F.min("row").alias("_overall"))
     shape = tall.groupBy("file").agg(F.count_distinct("row").alias("_rows"), F.min("row").alias("_first"))
-    picked = specs.join(shape, "file").join(split, "file", "left").join(matching, ["file", "bench"], "left").withColumn(
-        "row", F.when(F.col("want_column").isNotNull(), F.col("_wanted")).when(F.col("_rows") == 1, F.col("_first")).otherwise(
+    picked = specs.join(shape, "file", "left").join(split, "file", "left").join(matching, ["file", "bench"], "left").withColumn(
+        "row", F.when(F.col("_asked") > 0, F.col("_wanted")).when(F.col("_rows") == 1, F.col("_first")).otherwise(
             F.coalesce("_overall", "_first")))
-    wanted = picked.select("file", "bench", "row", "multiply", F.size("columns").alias("_n"), F.explode("columns").alias("name"))
+    wanted = picked.select("file", "bench", "row", "_rows", "multiply", F.size("columns").alias("_n"), F.explode("columns").alias("name"))
     # An exact column name wins over one equal without case.
-    found = wanted.withColumn("key", F.lower("name")).join(tall.select("file", "row", "key", "column", "value"), ["file", "row", "key"])
-    one = found.groupBy("file", "bench", "multiply", "_n", "name").agg(
-        F.min_by(number(F.col("value")), (F.col("column") != F.col("name")).cast("int")).alias("v"))
-    summed = one.groupBy("file", "bench", "multiply", "_n").agg(F.sum("v").alias("raw"), F.count("v").alias("_have")).filter("_have = _n")
+    found = wanted.withColumn("key", F.lower("name")).join(tall.select("file", "row", "key", "column", "value"), ["file", "row", "key"], "left")
+    by = ["file", "bench", "row", "_rows", "multiply", "_n"]
+    one = found.groupBy(*by, "name").agg(F.count("column").alias("_there"), F.min_by(number(F.col("value")), (F.col("column") != F.col("name")).cast("int")).alias("v"))
+    summed = one.groupBy(*by).agg(F.sum("v").alias("raw"), F.count("v").alias("_have"), F.count_if(F.col("_there") > 0).alias("_there"))
     factor = F.when(F.col("multiply") == "auto", F.when(F.col("raw") <= 1.0, 100.0).otherwise(1.0)).otherwise(
         F.coalesce(F.col("multiply").try_cast("double"), F.lit(1.0)))
-    return summed.select("file", "bench", (F.col("raw") * factor).alias("score"))
+    reason = F.when(F.col("_rows").isNull(), "empty table").when(F.col("row").isNull(), "no matching row").when(
+        F.col("_there") < F.col("_n"), "missing column").when(F.col("_have") < F.col("_n"), "not a number")
+    return summed.select("file", "bench", F.when(reason.isNull(), F.col("raw") * factor).alias("score"), reason.alias("reason"))
 
 
 def prediction_counts(predictions: DataFrame, by: list[str]) -> DataFrame:

@@ -335,19 +335,37 @@ def u_results_union(t):
     HAVING l_orderkey % 3 <> 0 OR (count(*) FILTER (l_linenumber = 1) = 1)""")
 def a_suite_headline(t):
     """One score table per order. Kind 0 picks a row by filter, 1 scales a share, 2 sums columns."""
+    kind = F.col("l_orderkey") % 3
+    ones = t.lineitem.groupBy("l_orderkey").agg(F.count_if(F.col("l_linenumber") == 1).alias("ones"))
+    single = ones.filter((kind != 0) | (F.col("ones") == 1)).select("l_orderkey")
+    return Z.headline_scores(*_suite(t, single)).select("bench", F.round("score", 6).alias("score"))
+
+
+def _suite(t, orders):
     order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    lines = t.lineitem.withColumn("row", order - 1)
+    lines = t.lineitem.withColumn("row", order - 1).join(orders, "l_orderkey")
     kind = F.col("l_orderkey") % 3
-    single = lines.groupBy("l_orderkey").agg(F.count_if(F.col("l_linenumber") == 1).alias("ones")).filter((kind != 0) | (F.col("ones") == 1)).select("l_orderkey")
-    lines = lines.join(single, "l_orderkey")
     pair = lambda c, v: F.struct(F.lit(c).alias("column"), v.cast("string").alias("value"))
     cells = lines.select(F.col("l_orderkey").alias("file"), "row", F.explode(F.array(
         pair("Line ", F.col("l_linenumber")), pair("Qty", F.col("l_quantity")), pair("share", F.col("l_discount")), pair("tax", F.concat(F.col("l_tax").cast("string"), F.lit("%"))))).alias("c")).select("file", "row", "c.*")
-    specs = single.select(
+    specs = orders.select(
         F.col("l_orderkey").alias("file"), F.concat(F.lit("b"), F.col("l_orderkey")).alias("bench"),
         F.when(kind == 0, F.array(F.lit("qty"))).when(kind == 1, F.array(F.lit("share"))).otherwise(F.array(F.lit("Qty"), F.lit("tax"))).alias("columns"),
-        F.when(kind == 0, "line").alias("want_column"), F.when(kind == 0, "1").alias("want_value"), F.when(kind == 1, "auto").otherwise("1").alias("multiply"))
-    return Z.headline_scores(cells, specs).select("bench", F.round("score", 6).alias("score"))
+        F.when(kind == 0, F.create_map(F.lit("line"), F.lit("1"))).alias("want"), F.when(kind == 1, "auto").otherwise("1").alias("multiply"))
+    return cells, specs
+
+
+@query("a_suite_failures", """SELECT 'b' || cast(l_orderkey AS string) AS bench, CASE WHEN l_orderkey % 5 = 0 THEN 'missing column'
+        WHEN l_orderkey % 3 = 0 AND count(*) FILTER (l_linenumber = 1 AND l_quantity > 10) = 0 THEN 'no matching row' ELSE 'ok' END AS reason FROM {lineitem} GROUP BY l_orderkey""")
+def a_suite_failures(t):
+    """A filter over two columns, and specs that ask for a column no table has; nothing is dropped."""
+    orders = t.lineitem.select("l_orderkey").distinct()
+    cells, specs = _suite(t, orders)
+    big = cells.filter("column = 'Qty'").select("file", "row", F.lit("Big").alias("column"), (F.col("value").cast("double") > 10).cast("string").alias("value"))
+    both = F.map_concat("want", F.create_map(F.lit("big"), F.lit("true")))
+    columns = F.when(F.col("file") % 5 == 0, F.array(F.lit("gone"))).otherwise(F.col("columns"))
+    failed = Z.headline_scores(cells.unionByName(big), specs.withColumns({"want": F.when(F.col("file") % 5 != 0, both), "columns": columns}))
+    return failed.select("bench", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
 @query("a_failed_predictions", "SELECT run_key, count(*) AS cases, count(*) FILTER (NOT ok) AS failed FROM {answers} GROUP BY ALL")
