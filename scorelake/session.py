@@ -34,6 +34,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     folder it gets one, and its Python workers find this package. On a cluster both come with the
     job (``spark.checkpoint.dir``; a wheel, or ``--py-files``)."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # replies repeat keys; the last value counts
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows are whole documents
     context = spark.sparkContext
     if context.master.startswith("local"):
         if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
