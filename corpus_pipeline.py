@@ -15,26 +15,31 @@ from scorelake.session import materialise, prepare
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what passes the base test and is good by its rules' votes."""
+    prepare(spark)
     return quality.good(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what is in a known language; the model learns from the stage's own rows."""
+    prepare(spark)
     return langid.confident(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group."""
+    prepare(spark)
     return minhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture to smoothed weights in slot order: every document, those of small sources repeated."""
+    prepare(spark)
     return mixing.in_order(docs, mixing.mixed(docs, 0.7, name="__mix"), "__mix")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mixture."""
+    prepare(spark)
     done = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), spans=False)
     return done.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
