@@ -263,7 +263,7 @@ def overview(board: DataFrame, selected: Sequence[str] | None = None, category:
         F.avg("score_100").alias("avg_score_100"), F.avg("position").alias("avg_position"),
         F.count("*").alias("covered"), F.array_sort(F.collect_list(cell)).alias("cells"))
     # Order by coverage through one offset per coverage level (at most one per benchmark).
-    models = materialise(models.withColumns({"_missing": -F.col("covered"), "_low": -F.col("avg_score_100")}))
+    models = materialise(models.withColumns({"_missing": -F.col("covered"), "_low": -F.round("avg_score_100", 9)}))  # rounding noise breaks no tie
     levels = models.groupBy("_missing").agg(F.count("*").alias("_n"))
     ahead = scan(levels.withColumn("_all", F.lit(0)), ["_all"], "_missing", "_n").select("_missing", F.col("before").alias("_ahead"))
     placed = row_numbers(models, ["_missing"], "_low", [F.col("model_id")], "_inside").join(ahead, "_missing")
