@@ -14,6 +14,7 @@ from scorelake.llm.common import frugal, rows
 
 
 PART = 256  # texts handled at a time
+MOST_LABELS = 10_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -23,10 +24,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def bounded_sample(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
     """At most ``per_label`` rows of each label, those with the least hash of their doc_id. A first cut
-    by the hash leaves about twice that many of a frequent label, so no window sees more."""
+    by the hash, where the rows lie, leaves about twice that many of a frequent label, so only these are
+    shuffled and no window sees more. The counts of at most ``MOST_LABELS`` labels are broadcast."""
     tally = labelled.groupBy(label).agg(F.count("*").alias("__n"))
+    if tally.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels are no classes")
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) / F.lit(float(1 << 53))
-    near = labelled.join(tally, label).withColumn("__place", place).where(F.col("__place") * F.col("__n") <= 2.0 * per_label + 64)
+    near = labelled.join(F.broadcast(tally), label).withColumn("__place", place).where(F.col("__place") * F.col("__n") <= 2.0 * per_label + 64)
     order = Window.partitionBy(label).orderBy("__place", "doc_id")
     return near.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_label).drop("__rank", "__place", "__n")
 
