@@ -68,13 +68,14 @@ def smoothed(sizes: dict[str, float], power: float = 0.7) -> dict[str, float]:
     return {s: max(n, 1) ** power for s, n in sizes.items()}
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | float = 0.7, block: int = BLOCK, size: Column | None = None, name: str = "mix") -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | float = 0.7, block: int = BLOCK, size: Column | None = None, place: Column | None = None, name: str = "mix") -> DataFrame:
     """All columns of ``docs`` and a struct ``name`` of source, block, epoch and slot (slots are shared by
-    a block's documents, ``place`` orders them). Weights: by source, or the power of ``smoothed``."""
+    a block's documents, ``place`` orders them). Weights: by source, or the power of ``smoothed``. ``size`` and
+    ``place`` default to the text's bytes and a hash of doc_id and text."""
     if name in docs.columns:
         raise ValueError(f"choose another name than {name!r} for the mixture's column")
     amount = F.coalesce((F.octet_length("text") if size is None else size).cast("long"), F.lit(0))
-    whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("source"), amount.alias("size"), F.xxhash64("doc_id", "text").alias("place"), F.col("doc_id").alias("key"))
+    whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("source"), amount.alias("size"), (F.xxhash64("doc_id", "text") if place is None else place).alias("place"), F.col("doc_id").alias("key"))
     slim = whole.select("source", "size", "place")
     totals = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).limit(PERIOD + 1).collect()
     spark = docs.sparkSession

@@ -113,7 +113,8 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_pfair_mix")
 def op5_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
-    made = mixing.mixed(table(spark, folder, "documents").select("doc_id", "source", "text"), 0.7)
+    slim = table(spark, folder, "documents").select("doc_id", "source", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id", "text").alias("order"))
+    made = mixing.mixed(slim, 0.7, size=F.col("bytes"), place=F.col("order"))
     return made.select("doc_id", "mix.source", "mix.block", "mix.epoch", "mix.slot", "mix.size")
 
 
