@@ -185,7 +185,7 @@ class Encoder:
     white space, so a text is cut there and each part, with its leading space, is looked up or encoded
     by the library. Texts with a special token's name go to the library whole."""
 
-    LIMIT = 600_000  # remembered words
+    LIMIT = 1_500_000  # remembered words, about 160 bytes each
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
