@@ -3,13 +3,15 @@
 Each source's documents are cut into blocks of about ``block`` units of size. A mixture is a sequence of
 slots, one block each. With target weight w, the source's block i (from 0) is released at slot floor(i / w) and
 due by slot ceil((i + 1) / w); every slot goes to the released block with the earliest deadline (ties: the
-source whose name comes first). As the weights add up to one this meets all deadlines, so after any
-number t of slots each source has had within one block of w * t.
+source whose name comes first). As the weights add up to one this meets all deadlines.
 
-Weights are rounded to ``PERIOD`` parts (largest remainders, one part at least), so the schedule repeats
-every PERIOD slots: one period, of a size that does not depend on the data, is scheduled on the driver, and
-a block's slot follows from its number. The mixture runs until every document has come once; sources
-that are done earlier start again (epochs), so nothing is dropped and every stretch keeps the weights.
+The mixture is cut into periods of ``PERIOD`` slots. After each period a source has had floor(w * t) or
+ceil(w * t) blocks, and never fewer than before: which, is again decided by earliest deadline, with periods as
+the unit of time, and the rounding is carried on. One task steps through the periods with a few numbers for each
+source; each period is then scheduled by itself in Spark tasks, to its own whole shares, zero allowed. So
+the deviation from w * t is below one block where a period ends and below two inside, however long the mixture
+and however many sources. The mixture runs until every document has come once; sources that are done
+earlier start again (epochs), so nothing is dropped and every stretch keeps the weights.
 
 The order inside a source is a hash order of its rows; ranks are sums over hash bins of bounded size, so
 a source with a third of all rows is no single group. A null source is a source of its own. Null and empty
@@ -20,34 +22,61 @@ struct. An empty table gives an empty mixture; sources without a weight are an e
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.llm.common import frugal, materialise, rows
 
 PERIOD = 4096
 BIN_ROWS = 20_000
 BLOCK = 1 << 16
+ONE = 1 << 50
+
+
+def stepped(whole: np.ndarray, period: int) -> Iterator[np.ndarray]:
+    """Each source's blocks (running totals) after one period, two, and so on, for whole weights that add up
+    to about 2 ** 50. All in whole numbers, so nothing drifts."""
+    total = int(whole.sum())
+    assert total * period < 1 << 63
+    each, rest = np.divmod(whole * period, total)
+    least, part = np.zeros_like(whole), np.zeros_like(whole)  # w * t = least + part / total
+    had = np.zeros_like(whole)
+    slots = 0
+    while True:
+        slots += period
+        part = part + rest
+        over = part >= total
+        least, part = least + each + over, part - total * over
+        had = np.maximum(had, least)
+        free = np.flatnonzero((had == least) & (part > 0))  # may have their next block now
+        need = slots - int(had.sum())
+        assert 0 <= need <= len(free), "a deadline was missed"
+        due = (total - part[free]) / whole[free]
+        had[free[np.argsort(due, kind="stable")[:need]]] += 1
+        yield had.copy()
+
+
+def whole_weights(weights: np.ndarray) -> np.ndarray:
+    """Weights as whole numbers that add up to about 2 ** 50, one at least."""
+    return np.maximum(1, np.rint(weights / weights.sum() * ONE)).astype(np.int64)
 
 
 def parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole parts of a period in proportion to the weights, one at least."""
-    if len(weights) > period or any(not w > 0 for w in weights.values()):
-        raise ValueError(f"weights must be positive and at most {period}")
-    total, out = sum(weights.values()), {}
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    for s, x in exact.items():
-        out[s] = 1 + int(x)
-    short = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:short]:
-        out[s] += 1
-    return out
+    """Each source's blocks in the first period."""
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    names = sorted(weights)
+    return dict(zip(names, next(stepped(whole_weights(np.array([weights[s] for s in names], float)), period)).tolist(), strict=True))
 
 
 def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, block in the period, slot): earliest deadline first over one period."""
     period = sum(shares.values())
-    waiting = [(0, s, 0) for s in shares]  # release, source, block
+    waiting = [(0, s, 0) for s in shares if shares[s]]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []  # deadline, source, block
     out = []
@@ -63,59 +92,97 @@ def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def smoothed(sizes: dict[str, float], power: float = 0.7) -> dict[str, float]:
-    """Weights between proportional (1) and equal (0) to the sizes."""
-    return {s: max(n, 1) ** power for s, n in sizes.items()}
+_SHARES = pa.schema([("period", pa.int64()), ("source", pa.string()), ("first", pa.int64()), ("share", pa.int64())])
+_PLAN = pa.schema([("source", pa.string()), ("number", pa.int64()), ("slot", pa.int64())])
+
+
+def _shares(period: int):
+    """Every source's blocks in each period, until the period in which the last source is done once."""
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = list(batches)
+        if not sum(map(len, table)):
+            return
+        table = pa.Table.from_batches(table).sort_by("source")
+        names, blocks = table.column("source").combine_chunks(), table.column("blocks").to_numpy()
+        before = np.zeros_like(blocks)
+        for k, had in enumerate(stepped(whole_weights(table.column("weight").to_numpy()), period)):
+            some = np.flatnonzero(had > before)
+            yield rows(_SHARES, np.full(len(some), k), names.take(pa.array(some)), before[some], (had - before)[some])
+            if (had >= blocks).all():
+                return
+            before = had
+
+    return share
+
+
+def _plans(period: int):
+    """Rows come by period; each is scheduled by itself."""
+
+    def one(k: int, held: dict[str, tuple[int, int]]) -> pa.RecordBatch:
+        made = schedule({s: n for s, (_, n) in held.items()})
+        return rows(_PLAN, [s for s, _, _ in made], [held[s][0] + i for s, i, _ in made], [k * period + slot for _, _, slot in made])
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            for k, source, first, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    if held:
+                        yield one(now, held)
+                    now, held = k, {}
+                held[source] = (first, share)
+        if held:
+            yield one(now, held)
+
+    return plan
+
+
+def planned(sources: DataFrame) -> DataFrame:
+    """(source, block, epoch, slot) of the whole mixture, for sources (source, weight, blocks)."""
+    shares = sources.select("source", "weight", "blocks").coalesce(1).mapInArrow(frugal(_shares(PERIOD)), "period long, source string, first long, share long")
+    dealt = materialise(shares).repartition("period").sortWithinPartitions("period")
+    plan = materialise(dealt.mapInArrow(frugal(_plans(PERIOD)), "source string, number long, slot long"))
+    plan = plan.join(sources.select("source", "blocks"), "source")
+    end = plan.where(F.col("number") == F.col("blocks") - 1).agg(F.max("slot")).first()[0]
+    plan = plan.where(F.col("slot") <= F.lit(-1 if end is None else end))
+    return plan.select("source", F.pmod("number", "blocks").alias("block"), F.floor(F.col("number") / F.col("blocks")).alias("epoch"), "slot")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | float = 0.7, block: int = BLOCK, size: Column | None = None, place: Column | None = None, name: str = "mix") -> DataFrame:
     """All columns of ``docs`` and a struct ``name`` of source, block, epoch and slot (slots are shared by
-    a block's documents, ``place`` orders them). Weights: by source, or the power of ``smoothed``. ``size`` and
-    ``place`` default to the text's bytes and a hash of doc_id and text."""
+    a block's documents, ``place`` orders them). Weights: by source, or a power of the
+    sizes, between proportional (1) and equal (0). ``size`` and ``place`` default to the text's bytes and a
+    hash of doc_id and text."""
     if name in docs.columns:
         raise ValueError(f"choose another name than {name!r} for the mixture's column")
     amount = F.coalesce((F.octet_length("text") if size is None else size).cast("long"), F.lit(0))
     whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("source"), amount.alias("size"), (F.xxhash64("doc_id", "text") if place is None else place).alias("place"), F.col("doc_id").alias("key"))
     slim = whole.select("source", "size", "place")
-    totals = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).limit(PERIOD + 1).collect()
-    spark = docs.sparkSession
-    targets = weights if isinstance(weights, dict) else smoothed({r["source"]: r["size"] for r in totals}, weights)
-    missing = {r["source"] for r in totals} - set(targets)
+    totals = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    if isinstance(weights, dict):
+        if any(not w > 0 for w in weights.values()):
+            raise ValueError("weights must be positive")
+        targets = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
+        totals = totals.join(targets, "source", "left")
+    else:
+        totals = totals.withColumn("weight", F.pow(F.greatest("size", F.lit(1)).cast("double"), F.lit(float(weights))))
+    facts = materialise(totals.select("source", "weight", F.ceil(F.col("n") / BIN_ROWS).alias("bins"), F.greatest(F.ceil(F.col("size") / block), F.lit(1)).alias("blocks")))
+    missing = [r["source"] for r in facts.where("weight is null").select("source").limit(5).collect()]
     if missing:
-        raise ValueError(f"no weight for {sorted(missing)[:5]}")
-    shares = parts({r["source"]: targets[r["source"]] for r in totals}) if totals else {}
-    period = sum(shares.values())
-    turn = schedule(shares) if shares else []
-    slots: dict[str, list[int]] = {s: [0] * n for s, n in shares.items()}
-    for s, i, slot in turn:
-        slots[s][i] = slot
-    blocks = {r["source"]: max(1, -(-r["size"] // block)) for r in totals}
-
-    def slot_of(s: str, i: int) -> int:
-        return i // shares[s] * period + slots[s][i % shares[s]]
-
-    end = max((slot_of(s, n - 1) for s, n in blocks.items()), default=-1) + 1
-
-    def taken(s: str) -> int:
-        """The source's blocks in the first ``end`` slots."""
-        return end // period * shares[s] + sum(x < end % period for x in slots[s])
-
-    facts = [(r["source"], -(-r["n"] // BIN_ROWS), blocks[r["source"]], taken(r["source"]), shares[r["source"]]) for r in totals]
-    facts = F.broadcast(spark.createDataFrame(facts, "source string, bins long, blocks long, taken long, share int"))  # at most PERIOD rows
-    placed = whole.join(facts, "source").withColumn("bin", F.pmod("place", "bins"))
+        raise ValueError(f"no weight for {sorted(missing)}")
+    if facts.count() > PERIOD:
+        raise ValueError(f"at most {PERIOD} sources")
+    plan = materialise(planned(facts))
+    placed = whole.join(facts.select("source", "bins", "blocks"), "source").withColumn("bin", F.pmod("place", "bins"))
     sums = placed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("earlier", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).select("source", "bin", "earlier")
     inside = Window.partitionBy("source", "bin").orderBy("place", "key").rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["source", "bin"])
     ranked = ranked.withColumn("block", F.least(F.floor((F.col("earlier") + F.col("within")) / block), F.col("blocks") - 1))
-    last = F.floor((F.col("taken") - 1 - F.col("block")) / F.col("blocks"))
-    each = ranked.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    each = each.withColumn("number", F.col("epoch") * F.col("blocks") + F.col("block"))
-    table = F.broadcast(spark.createDataFrame(turn, "source string, turn int, offset int"))  # PERIOD rows
-    each = each.withColumn("turn", F.pmod("number", "share").cast("int")).join(table, ["source", "turn"])
-    slot = F.floor(F.col("number") / F.col("share")) * F.lit(period) + F.col("offset")
-    made = F.struct("source", F.col("block").cast("long").alias("block"), F.col("epoch"), slot.cast("long").alias("slot"), "place", "size")
+    each = ranked.withColumn("block", F.col("block").cast("long")).join(plan, ["source", "block"])
+    made = F.struct("source", "block", "epoch", "slot", "place", "size")
     return each.select("row.*", made.alias(name))
 
 

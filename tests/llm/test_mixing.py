@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,45 @@ def test_edges(spark):
         mixing.mixed(edge_docs(spark), {"a": 1.0})
     with pytest.raises(ValueError):
         mixing.mixed(edge_docs(spark), name="score")
+
+
+def deviations(shares_of, weights, periods):
+    """The largest distance from the unrounded w * t after any slot, in blocks."""
+    total, given, slots, worst = sum(weights.values()), Counter(), 0, 0.0
+    for k in range(periods):
+        for source, _, _ in mixing.schedule(shares_of(k)):
+            before = given[source] - weights[source] / total * slots
+            given[source] += 1
+            slots += 1
+            worst = max(worst, abs(before), abs(given[source] - weights[source] / total * slots))
+        worst = max([worst, *(abs(given[s] - w / total * slots) for s, w in weights.items())])
+    return worst
+
+
+@pytest.mark.parametrize("n, periods", [(20, 120), (600, 40), (5000, 12)])
+def test_deviation_does_not_grow(n, periods):
+    rng = random.Random(n)
+    weights = {f"s{i}": rng.random() ** 3 + 1e-3 for i in range(n)}
+    weights["s0"] = sum(weights.values()) / 2  # a third
+    names = sorted(weights)
+    steps = mixing.stepped(mixing.whole_weights(np.array([weights[s] for s in names])), mixing.PERIOD)
+    totals = [np.zeros(n, int), *(next(steps) for _ in range(periods))]
+    exact = np.array([weights[s] for s in names]) / sum(weights.values())
+    for k, had in enumerate(totals):
+        assert had.sum() == k * mixing.PERIOD and abs(had - exact * k * mixing.PERIOD).max() < 1
+    assert deviations(lambda k: dict(zip(names, (totals[k + 1] - totals[k]).tolist())), weights, periods) < 2
+
+
+def test_many_periods_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PERIOD", 64)
+    sources = [(f"s{i:03}", float(1 + i % 7), 1 + i % 5) for i in range(300)]
+    table = spark.createDataFrame(sources, "source string, weight double, blocks long")
+    got = sorted((r["slot"], r["source"], r["epoch"], r["block"]) for r in mixing.planned(table).collect())
+    assert [g[0] for g in got] == list(range(len(got))) and len(got) > 10 * 64
+    blocks, total, given = {s: n for s, _, n in sources}, sum(w for _, w, _ in sources), Counter()
+    for slot, s, epoch, block in got:
+        assert epoch * blocks[s] + block == given[s]
+        given[s] += 1
+        if slot % 64 == 63:
+            assert all(abs(given[x] - w / total * (slot + 1)) < 1 for x, w, _ in sources)
+    assert all(given[s] >= n for s, n in blocks.items()) and given[got[-1][1]] == blocks[got[-1][1]]
