@@ -171,8 +171,6 @@ def mixed(docs: DataFrame, weights: dict[str, float] | float = 0.7, block: int =
     missing = [r["source"] for r in facts.where("weight is null").select("source").limit(5).collect()]
     if missing:
         raise ValueError(f"no weight for {sorted(missing)}")
-    if facts.count() > PERIOD:
-        raise ValueError(f"at most {PERIOD} sources")
     plan = materialise(planned(facts))
     placed = whole.join(facts.select("source", "bins", "blocks"), "source").withColumn("bin", F.pmod("place", "bins"))
     sums = placed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))

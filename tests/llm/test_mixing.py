@@ -128,3 +128,16 @@ def test_many_periods_in_tasks(spark, monkeypatch):
         if slot % 64 == 63:
             assert all(abs(given[x] - w / total * (slot + 1)) < 1 for x, w, _ in sources)
     assert all(given[s] >= n for s, n in blocks.items()) and given[got[-1][1]] == blocks[got[-1][1]]
+
+
+def test_more_sources_than_slots_in_a_period(spark):
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "'text' AS text", "concat('site', id % 6000) AS source").unionByName(
+        spark.range(12_000, 12_500).selectExpr("id AS doc_id", "repeat('x', 100) AS text", "'large' AS source"))
+    got = mixing.mixed(docs, 0.7, 8).select("doc_id", "mix.*").collect()
+    assert {r["doc_id"] for r in got} == set(range(12_500))
+    slots = {(r["source"], r["slot"]) for r in got}
+    end = max(r["slot"] for r in got) + 1
+    weight = 50_000 ** 0.7 / (50_000 ** 0.7 + 6000 * 8 ** 0.7)
+    large = sum(r["size"] for r in got if r["source"] == "large") / 8
+    assert end > mixing.PERIOD and abs(large - weight * end) < 2 + 2 * 100 / 8
+    assert len([1 for s, _ in slots if s != "large"]) == len({t for s, t in slots if s != "large"}) >= 6000
