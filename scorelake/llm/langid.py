@@ -170,7 +170,10 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def confident(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with a score of ``least``."""
+    """The rows of ``docs``, with all their columns, whose language is known with a score of ``least``;
+    all rows when the model had nothing to learn from, as it can tell none apart."""
+    if not model.languages:
+        return docs
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

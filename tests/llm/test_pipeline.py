@@ -2,6 +2,7 @@ import hashlib
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scorelake.llm import langid, mixing, quality
@@ -49,3 +50,8 @@ def test_edges(spark):
         for _, stage in corpus_pipeline.STAGES:
             out = materialise(stage(spark, table, FOLDER))
             assert "doc_id" in out.columns
+
+
+def test_no_language_to_learn_from(spark):
+    docs = edge_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, docs, FOLDER).count() == edge_docs(spark).count()
