@@ -1,7 +1,7 @@
 """Near-duplicate grouping with SuperMinHash signatures.
 
 1. Each text becomes the set of its distinct five-word shingles (64-bit hashes). Texts with equal
-   sets form a class; the smallest doc_id stands for it, and only these representatives go on.
+   sets form a class; one row, by a row number of its own, stands for it, and only these go on.
 2. Every representative gets a SuperMinHash signature: an element brings correlated ranks, a random
    permutation of the slots drawn one step at a time, and step j can only set ranks in [j, j + 1). So
    as soon as all slots hold ranks below j the remaining steps are skipped.
@@ -15,9 +15,10 @@
 5. Union-find grouping: each task contracts its links with a union-find, and alternating large-star
    and small-star joins finish the components. Nothing is gathered on the driver.
 
-Nulls, empty texts and texts without words have an empty set, link with nothing and stand alone. A
-repeated doc_id is one node with several texts: what its texts link is linked. A row without doc_id
-belongs to its class's component (null if the class has no id). Extra columns are ignored."""
+Nulls, empty texts and texts without words have an empty set, link with nothing and stand alone.
+Links are between texts, whatever their ids. In near_duplicates a repeated doc_id is one node with several
+texts: what its texts link is linked. A row without doc_id belongs to its class's component (null if no
+row of the component has an id). Extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import frugal, materialise, pieces, rows
@@ -81,14 +82,18 @@ def band_keys(ranks: np.ndarray) -> np.ndarray:
     return mix((mix(cut) * _ROW).sum(axis=2, dtype=np.uint64) + _BAND).view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("shape", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_shingles", pa.int64()), ("shape", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SETS = pa.schema([("shape", pa.binary()), ("shingles", pa.binary())])
 
 
 def _lowered(batch: pa.RecordBatch) -> list[bytes]:
     return [b"" if t is None else t.encode().lower() for t in batch.column(1).to_pylist()]
 
 
+def _shape(shingles_: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles_.tobytes()) if len(shingles_) else None
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "text", 1 << 18):
@@ -99,14 +104,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signature, bands = [None] * len(sets), [None] * len(sets)
             for k, i in enumerate(some):
                 signature[i], bands[i] = low[k].tobytes(), keys[k]
-            shape = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield rows(_SIGNED, batch.column(0), [len(s) for s in sets], shape, signature, bands)
+            shape = [_shape(s) for s in sets]
+            yield rows(_SIGNED, batch.column(0), batch.column(2), [len(s) for s in sets], shape, signature, bands)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "text", 1 << 20):
-            yield rows(_SETS, batch.column(0), [shingles(h).tobytes() for h in word_hashes(_lowered(batch))])
+            sets = [shingles(h) for h in word_hashes(_lowered(batch))]
+            yield rows(_SETS, [_shape(s) for s in sets], [s.tobytes() for s in sets])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -252,33 +258,58 @@ def _between(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFra
     return dealt.mapInArrow(frugal(_near), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(texts.mapInArrow(frugal(_sign), "doc_id long, n_shingles long, shape binary, signature binary, bands array<long>"))
-    classes = materialise(signed.where("shape is not null").groupBy("shape").agg(F.min("doc_id").alias("node")))
-    heads = signed.join(classes, (signed["shape"] == classes["shape"]) & (signed["doc_id"] == classes["node"]), "leftsemi")
+def _digest() -> Column:
+    return F.sha2(F.col("text").cast("string"), 256)
 
-    keyed = heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row of ``docs`` as (doc_id, digest, n_shingles, node), where node is its class's, and (node, label) of the
+    linked classes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
+    signed = texts.mapInArrow(frugal(_sign), "doc_id long, digest string, n_shingles long, shape binary, signature binary, bands array<long>")
+    signed = materialise(signed.withColumn("row", F.monotonically_increasing_id()))
+    order = F.coalesce("doc_id", F.lit(2**63 - 1))
+    classes = materialise(signed.where("shape is not null").groupBy("shape").agg(F.min_by("row", order).alias("node")))
+    heads = signed.join(classes.select(F.col("node").alias("row")), "row", "leftsemi")
+
+    keyed = heads.select(F.col("row").alias("node"), F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
     members = materialise(keyed.join(buckets, "key").select("key", "node", "low"))
-    nodes = members.select("node").distinct()
-    sets = materialise(texts.join(nodes, texts["doc_id"] == nodes["node"], "leftsemi").mapInArrow(frugal(_pack), "node long, shingles binary"))
+    nodes = members.select(F.col("node").alias("row")).distinct()
+    known = materialise(heads.join(nodes, "row", "leftsemi").select(F.col("row").alias("node"), "doc_id", "shape", "n_shingles", "signature", "bands"))
+    ids = known.select("doc_id").distinct()
+    packed = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "leftsemi").mapInArrow(frugal(_pack), "shape binary, shingles binary")
+    sets = materialise(packed.join(known.select("shape", "node"), "shape").groupBy("node").agg(F.first("shingles").alias("shingles")))
     tried = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     labels = materialise(components(confirmed(tried, sets)))
-    known = sets.join(signed.where("shape is not null").select(F.col("doc_id").alias("node"), "n_shingles", "signature", "bands"), "node")
+    known = sets.join(known.drop("doc_id", "shape"), "node")
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = materialise(components(stars.unionByName(_between(members, labels, known))))
+    return materialise(signed.select("doc_id", "digest", "n_shingles", "shape").join(classes, "shape", "left").drop("shape")), labels
+
 
-    named = classes.join(labels, "node", "left").select("shape", F.coalesce("label", "node").alias("label"))
-    out = signed.select("doc_id", "n_shingles", "shape").join(named, "shape", "left")
-    out = out.withColumn("component_id", F.when(F.col("shape").isNull(), F.col("doc_id")).otherwise(F.col("label")))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    each, labels = _grouped(docs)
+    shared = each.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("doc_id", "low")
+    bridges = materialise(each.where("node is not null").join(shared, "doc_id").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    if bridges.head(1):
+        labels = materialise(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(bridges)))
+    named = each.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    out = named.join(least, "label", "left")
+    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each group, with all columns: the one with the smallest doc_id (any one of the rows
-    that repeat this id). Rows without an id cannot be told apart and stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of linked texts, with all columns: the one with the smallest doc_id (rows without one
+    come last). A repeated doc_id links nothing here. Of rows that repeat both id and text any one stays."""
+    each, labels = _grouped(docs)
+    named = each.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first")
+    kept = named.where("label is not null").groupBy("label").agg(first).select("first.doc_id", "first.digest")
+    kept = materialise(kept.unionByName(named.where("label is null").select("doc_id", "digest").distinct())).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"))
+    marked = docs.withColumn("__digest", _digest())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__kept"))
+    return marked.join(kept, same, "leftsemi").dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)

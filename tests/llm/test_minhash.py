@@ -88,6 +88,50 @@ def test_edges(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, 8, 9, None, 10], key=str)
 
 
+TEXTS = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcd"]
+
+
+def near(text, *places):
+    return " ".join("other" if i in places else w for i, w in enumerate(text.split()))
+
+
+def test_repeated_rows_are_one_head(spark, monkeypatch):
+    a, other = TEXTS[0], near(TEXTS[0], 59)
+    docs = spark.createDataFrame([(1, a)] * 50 + [(2, other)] * 50, "doc_id long, text string")
+    seen, between = {}, minhash._between
+
+    def counted(members, labels, known):
+        seen.update(members=members.count(), known=known.count())
+        return between(members, labels, known)
+
+    monkeypatch.setattr(minhash, "_between", counted)
+    got = minhash.near_duplicates(docs).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1)} and len(got) == 100
+    assert seen["known"] == 2 and seen["members"] <= 2 * minhash.BANDS
+
+
+def test_null_and_repeated_ids(spark):
+    a, b, c, d = TEXTS
+    table = [(1, a), (1, b), (2, b), (None, c), (None, c), (None, near(c, 59)), (None, d), (3, near(d, 0)), (4, near(d, 59)), (None, near(d, 0, 59)),
+             (None, ""), (5, ""), (5, ""), (5, None), (6, "")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in minhash.one_of_each(docs).collect()), key=str)
+    rest = [k for k in kept if k[1] not in (c, near(c, 59))]
+    assert rest == sorted([(1, a), (1, b), (3, near(d, 0)), (None, ""), (5, ""), (5, None), (6, "")], key=str)
+    assert len(kept) == len(rest) + 1
+    ids = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+    assert ids == {(1, 1), (2, 1), (None, None), (None, 3), (3, 3), (4, 3), (5, 5), (6, 6)}
+
+
+def test_null_id_bridges(spark):
+    words = TEXTS[0].split()
+    far = [" ".join(["x"] * k + words[k:]) for k in (0, 6, 12)]  # neighbours are linked, the ends are not
+    sets = [set_of(t) for t in far]
+    assert 100 * len(sets[0] & sets[2]) < 75 * len(sets[0] | sets[2])
+    docs = spark.createDataFrame([(7, far[0]), (None, far[1]), (8, far[2])], "doc_id long, text string")
+    assert [r["doc_id"] for r in minhash.one_of_each(docs).collect()] == [7]
+
+
 def one_by_one(elements, slots):
     """SuperMinHash as published: element by element, with the early stop on the histogram of ranks."""
     none = 2**64 - 1
