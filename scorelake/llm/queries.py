@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import langid, licenses, minhash, mixing, neighbours, pieces, quality, tokens, topk, warc
+from scorelake.llm import langid, licenses, merkle, minhash, mixing, neighbours, pieces, quality, tokens, topk, warc
 from scorelake.llm.common import materialise, shared_folder
 from scorelake.llm.sampling import held_out
 
@@ -130,3 +130,44 @@ def op9_lsa_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = neighbours.scored(docs, neighbours.train(docs, table(spark, folder, "labels")))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def _leaf_sql(text: str) -> str:
+    cell = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    return "sha256(" + " || ".join(cell(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_FOLD = """sha256(array_to_string(n.nodes[f.pos // 8 * 8 + 1:f.pos], '') || f.node || array_to_string(n.nodes[f.pos + 2:f.pos // 8 * 8 + 8], '')),
+           f.proof || array_to_string(n.nodes[f.pos // 8 * 8 + 1:f.pos], '') || array_to_string(n.nodes[f.pos + 2:f.pos // 8 * 8 + 8], '')"""
+_ABOVE = "list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[i * 8 + 1:i * 8 + 8], '')))"
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1),
+          lambda i: [ord(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+          lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"""
+
+
+def checked_manifest(docs: DataFrame, levels: int = merkle.LEVELS) -> DataFrame:
+    """Each document's leaf and proof, folded again after the text of every third document was lower-cased."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    altered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), lower]))
+    made = merkle.manifest(docs, also={"altered": altered}, levels=levels)
+    made = made.withColumn("folded_root", merkle.folded(F.coalesce("altered", "leaf"), F.col("proof")))
+    return made.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_merkle_butterfly", f"""
+    WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf, {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered,
+                                doc_id IS NOT NULL AND {_CRC} % 3 = 0 AS tampered FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+    t(lang, level, nodes) AS (SELECT lang, 0, list(leaf ORDER BY pos) FROM p GROUP BY lang UNION ALL SELECT lang, level + 1, {_ABOVE} FROM t WHERE len(nodes) > 1),
+    s AS (SELECT lang, level AS depth, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM t WHERE len(nodes) = 1),
+    u(level, nodes) AS (SELECT 0, list(subroot ORDER BY tree) FROM s UNION ALL SELECT level + 1, {_ABOVE} FROM u WHERE len(nodes) > 1),
+    f(doc_id, lang, leaf, level, pos, node, proof) AS (
+        SELECT doc_id, lang, leaf, 0, pos, CASE WHEN tampered THEN lowered ELSE leaf END, '' FROM p
+        UNION ALL SELECT f.doc_id, f.lang, f.leaf, f.level + 1, f.pos // 8, {_FOLD} FROM f JOIN t AS n ON f.lang IS NOT DISTINCT FROM n.lang AND f.level = n.level AND len(n.nodes) > 1),
+    g(doc_id, leaf, subroot, level, pos, node, proof) AS (
+        SELECT doc_id, leaf, subroot, 0, tree, node, proof FROM f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang AND f.level = s.depth
+        UNION ALL SELECT f.doc_id, f.leaf, f.subroot, f.level + 1, f.pos // 8, {_FOLD} FROM g AS f JOIN u AS n ON f.level = n.level AND len(n.nodes) > 1)
+    SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = nodes[1] AS verified
+    FROM g JOIN u ON g.level = u.level AND len(u.nodes) = 1""")
+def op13_merkle_butterfly(spark: SparkSession, folder: str) -> DataFrame:
+    return checked_manifest(table(spark, folder, "documents"))
