@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import langid, licenses, merkle, minhash, mixing, neighbours, pieces, quality, tokens, topk, warc
+from scorelake.llm import langid, licenses, merkle, minhash, mixing, neighbours, pieces, quality, tokens, topk, warc, whitening
 from scorelake.llm.common import materialise, shared_folder
 from scorelake.llm.sampling import held_out
 
@@ -171,3 +171,13 @@ def checked_manifest(docs: DataFrame, levels: int = merkle.LEVELS) -> DataFrame:
     FROM g JOIN u ON g.level = u.level AND len(u.nodes) = 1""")
 def op13_merkle_butterfly(spark: SparkSession, folder: str) -> DataFrame:
     return checked_manifest(table(spark, folder, "documents"))
+
+
+def whitened_rows(vectors: DataFrame) -> DataFrame:
+    done = whitening.whitened(vectors)
+    return done.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query("op11_cholesky_whitening")
+def op11_cholesky_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened_rows(table(spark, folder, "embeddings"))
