@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import langid, licenses, merkle, minhash, mixing, neighbours, pieces, quality, tokens, topk, warc, whitening
+from scorelake.llm import langid, licenses, merkle, minhash, mixing, neighbours, phrases, pieces, quality, tokens, topk, warc, whitening
 from scorelake.llm.common import materialise, shared_folder
 from scorelake.llm.sampling import held_out
 
@@ -181,3 +181,27 @@ def whitened_rows(vectors: DataFrame) -> DataFrame:
 @query("op11_cholesky_whitening")
 def op11_cholesky_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitened_rows(table(spark, folder, "embeddings"))
+
+
+def contaminated_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    made = phrases.contamination(docs, items).withColumn("n_hit", phrases.covered(F.col("hits")))
+    return made.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op12_positional_index", f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    i AS (SELECT item_id, w, least(len(w), 10) AS size FROM b WHERE len(w) > 0),
+    q AS (SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(w[k:k + size - 1], ' '))) AS phrase FROM i),
+    s AS (SELECT r, at, array_to_string(w[at:at + size - 1], ' ') AS phrase, size
+          FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM d, (SELECT DISTINCT size FROM i) WHERE len(w) >= size)),
+    m AS (SELECT r, at, size, item_id FROM s JOIN q USING (size, phrase)),
+    h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(at, at + size)) AS place FROM (SELECT DISTINCT r, at, size FROM m)) GROUP BY r),
+    t AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""")
+def op12_positional_index(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
