@@ -196,10 +196,10 @@ _WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
     i AS (SELECT item_id, w, least(len(w), 10) AS size FROM b WHERE len(w) > 0),
     q AS (SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(w[k:k + size - 1], ' '))) AS phrase FROM i),
-    s AS (SELECT r, at, array_to_string(w[at:at + size - 1], ' ') AS phrase, size
-          FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM d, (SELECT DISTINCT size FROM i) WHERE len(w) >= size)),
-    m AS (SELECT r, at, size, item_id FROM s JOIN q USING (size, phrase)),
-    h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(at, at + size)) AS place FROM (SELECT DISTINCT r, at, size FROM m)) GROUP BY r),
+    s AS (SELECT r, pos, array_to_string(w[pos:pos + size - 1], ' ') AS phrase, size
+          FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM d, (SELECT DISTINCT size FROM i) WHERE len(w) >= size)),
+    m AS (SELECT r, pos, size, item_id FROM s JOIN q USING (size, phrase)),
+    h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(pos, pos + size)) AS place FROM (SELECT DISTINCT r, pos, size FROM m)) GROUP BY r),
     t AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""")
