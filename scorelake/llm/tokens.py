@@ -43,22 +43,42 @@ FILE_IDS = 1 << 26
 _COUNT = np.array([1, ZERO_RUN, *(n for n, _ in PACK.values())], np.int64)
 
 
+_BITS = np.array(sorted(bits for _, bits in PACK.values()))  # an id of class k + 1 fits _BITS[k], class 0 is zero
+_CLASS = np.append(0, np.searchsorted(_BITS, np.frexp(np.arange(1, 1 << 16))[1]) + 1).astype(np.uint8)
+
+
+def _choices(ids: np.ndarray) -> np.ndarray:
+    """The selector with the most ids at every place. The widest id of each stretch comes from stretches half as
+    long; past the end everything fits."""
+    classes = np.zeros(len(ids) + ZERO_RUN, np.uint8)
+    if len(ids) and int(ids.max()) < len(_CLASS):
+        classes[:len(ids)] = _CLASS[ids.astype(np.int64)]
+    else:
+        classes[:len(ids)] = np.searchsorted(np.uint64(1) << _BITS.astype(np.uint64), ids, side="right") + (ids > 0)
+    widest = {1: classes}
+    while 2 * max(widest) <= ZERO_RUN:
+        n = max(widest)
+        widest[2 * n] = np.maximum(widest[n][:-n], widest[n][n:])
+
+    def stretch(n: int) -> np.ndarray:
+        half = 1 << (n.bit_length() - 1)
+        both = widest[half] if half == n else np.maximum(widest[half][:-(n - half)], widest[half][n - half:])
+        return both[:len(ids)]
+
+    choice = np.zeros(len(ids), np.uint8)  # escape unless something fits
+    for selector in sorted(PACK, reverse=True):
+        count, bits = PACK[selector]
+        np.putmask(choice, stretch(count) <= np.searchsorted(_BITS, bits) + 1, selector)
+    np.putmask(choice, stretch(ZERO_RUN) == 0, ZEROS)
+    return choice.astype(np.int64)
+
+
 def pack(ids: np.ndarray) -> np.ndarray:
     """One block: the words of unsigned 64-bit ids. At each place the selector with the most ids that
     fit is taken; the last word may be padded with zeros."""
     n = len(ids)
+    choice = _choices(ids)
     place = np.arange(n)
-    choice = np.zeros(n, np.int64)  # escape unless something fits
-
-    def stretch(fits: np.ndarray) -> np.ndarray:
-        """How many ids from each place on fit; past the end everything does."""
-        bad = np.where(fits, n + ZERO_RUN, place)
-        return np.minimum.accumulate(bad[::-1])[::-1] - place
-
-    for selector in sorted(PACK, reverse=True):
-        count, bits = PACK[selector]
-        choice[stretch(ids < np.uint64(1 << bits)) >= count] = selector
-    choice[stretch(ids == 0) >= ZERO_RUN] = ZEROS
     step = (place + _COUNT[choice]).tolist()
     heads, at = [], 0
     while at < n:
@@ -181,9 +201,9 @@ class Reader:
 
 class Encoder:
     """Exactly the library's ids of whole texts, each distinct word encoded once. The pre-tokenizer of
-    a byte-level vocabulary never joins two words across a single space between two signs that are no
-    white space, so a text is cut there and each part, with its leading space, is looked up or encoded
-    by the library. Texts with a special token's name go to the library whole."""
+    a byte-level vocabulary never joins two words across a single space or line end between two signs that are
+    no white space, so a text is cut there and each part, with what precedes it, is looked up or encoded by the
+    library. Texts with a special token's name go to the library whole."""
 
     LIMIT = 1_500_000  # remembered words, about 160 bytes each
 
@@ -198,25 +218,42 @@ class Encoder:
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.odd = re.compile(r" (?:(?=\s)|(?<=\s ))")  # a space beside white space
         self.known: dict[str, bytes] = {}
-        (self.line_end,), *ends = self._whole(["\n", *".,;:!?"])
-        self.ends = {sign: np.array(ids, "<u4").tobytes() for sign, ids in zip(".,;:!?", ends, strict=True)}
+        self.line = re.compile(r"(?<=\S)\n(?=\S)")
+        ((self.line_end,),) = self._whole(["\n"])
+        self.newline = np.array([self.line_end], "<u4").tobytes()
+        self.plain = re.compile(r"(\n?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)").fullmatch
+        self.signs: dict[str, bytes] = {}
+        signs = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves
+        others = iter(range(256, 512))
+        self.alphabet = {b: chr(b) if b in signs else chr(next(others)) for b in range(256)}
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Remember the ids of each word with a space before it. A letter run and the sign after it are
-        separate for the pre-tokenizer, so such a word is put together from two. Other plain words are
-        encoded many at a time as lines; no id but the line end's holds a line end."""
-        known, lines, odd, made = self.known, [], [], []
+        """Remember the ids of each word with the space or line end before it. A letter run with its space is
+        one piece for the pre-tokenizer and goes straight to the model, in the byte alphabet; a line end, letters
+        without a space and a run of signs are pieces too, so such words are put together. Other plain words go
+        through the pre-tokenizer many at a time as lines; no id but the line end's holds a line end."""
+        known, letters, lines, odd, made = self.known, [], [], [], []
         for w in words:
-            if w[-1:] in self.ends and w[:-1].isalpha() and max(w) < "\u0250":
-                made.append(w)
+            match = self.plain(w)
+            if match is not None:
+                run, signs = match.groups()
+                if signs:
+                    made.append((w, run, signs))
+                else:
+                    letters.append(w)
             elif len(w.split()) == 1 and w == w.strip():
                 lines.append(w)
             else:
                 odd.append(w)
-        lines += {w[:-1] for w in made}.difference(known, lines)
+        letters += {run for _, run, _ in made}.difference(known, letters)
+        tokenize, alphabet, pack_ids = self.library.model.tokenize, self.alphabet, struct.pack
+        for w in letters:
+            head, text = (self.newline, w[1:]) if w[0] == "\n" else (b"", " " + w)
+            ids = [x.id for x in tokenize(text.encode().decode("latin-1").translate(alphabet))]
+            known[w] = head + pack_ids(f"<{len(ids)}I", *ids)
         for at in range(0, len(lines), 2000):
             part = lines[at:at + 2000]
             ids = np.array(self._whole([" " + "\n ".join(part)])[0], "<u4")
@@ -224,9 +261,12 @@ class Encoder:
             for w, end in zip(part, [*(4 * np.flatnonzero(ids == self.line_end)).tolist(), len(blob)], strict=True):
                 known[w] = blob[start:end]
                 start = end + 4
-        for w in made:
-            known[w] = known[w[:-1]] + self.ends[w[-1]]
-        for w, ids in zip(odd, self._whole([" " + w for w in odd]) if odd else (), strict=True):
+        runs = list({signs for _, _, signs in made}.difference(self.signs))
+        for signs, ids in zip(runs, self._whole(runs) if runs else (), strict=True):
+            self.signs[signs] = np.array(ids, "<u4").tobytes()
+        for w, run, signs in made:
+            known[w] = known[run] + self.signs[signs]
+        for w, ids in zip(odd, self._whole([w if w[:1] == "\n" else " " + w for w in odd]) if odd else (), strict=True):
             known[w] = np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -238,10 +278,11 @@ class Encoder:
             if not self.by_word or any(s in text for s in self.special):
                 whole.append(i)
             else:
-                head, *words = self.cut.split(text) if self.odd.search(text) else text.split(" ")
+                head, *words = self.cut.split(text) if self.odd.search(text) else self.line.sub(" \n", text).split(" ")
                 plain.append((i, head, words))
         if len(self.known) > self.LIMIT:
             self.known.clear()
+            self.signs.clear()
         known = self.known
         new = {w for _, _, words in plain for w in words}.difference(known)
         if new:
@@ -338,7 +379,7 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, n_docs, n_ids, start) of a folder's files, from their own tails; start counts the ids of
     all files before. The window runs over one row a file."""
     found = files.listing(spark, folder, "*.s8b")
-    sized = found.select("path").repartition("path").mapInArrow(_sizes, "path string, n_docs long, n_ids long")
+    sized = found.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(_sizes, "path string, n_docs long, n_ids long")
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     return sized.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
