@@ -199,8 +199,50 @@ class Reader:
             yield doc_id if known else None, n, take(n)
 
 
+class _Words(dict):
+    """The ids of words with the space or line end before them, learned when first asked for. A letter run with
+    its space is one piece for the pre-tokenizer and goes straight to the model, in the byte alphabet; a line end,
+    letters without a space and a run of signs are pieces too, so such words are put together. Others go through the
+    library."""
+
+    plain = re.compile(r"(\n?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+    def __init__(self, encoder: Encoder):
+        self.library, self.tokenize = encoder.library, encoder.library.model.tokenize
+        self.newline = self._of("\n")
+        self.signs: dict[str, bytes] = {}
+        same = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves
+        others = iter(range(256, 512))
+        self.alphabet = {b: chr(b) if b in same else chr(next(others)) for b in range(256)}
+
+    def _of(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        match = self.plain(word)
+        if match is None:
+            ids = self._of(word if word[:1] == "\n" else " " + word)
+        else:
+            run, signs = match.groups()
+            if signs:
+                tail = self.signs.get(signs)
+                if tail is None:
+                    tail = self.signs[signs] = self._of(signs)
+                ids = self[run] + tail
+            else:
+                head, text = (self.newline, run[1:]) if run[0] == "\n" else (b"", " " + run)
+                made = [x.id for x in self.tokenize(text.encode().decode("latin-1").translate(self.alphabet))]
+                ids = head + struct.pack(f"<{len(made)}I", *made)
+        self[word] = ids
+        return ids
+
+    def clear(self) -> None:
+        super().clear()
+        self.signs.clear()
+
+
 class Encoder:
-    """Exactly the library's ids of whole texts, each distinct word encoded once. The pre-tokenizer of
+    """Exactly the library's ids of whole texts, remembered words encoded once. The pre-tokenizer of
     a byte-level vocabulary never joins two words across a single space or line end between two signs that are
     no white space, so a text is cut there and each part, with what precedes it, is looked up or encoded by the
     library. Texts with a special token's name go to the library whole."""
@@ -216,59 +258,12 @@ class Encoder:
         before = spec.get("pre_tokenizer") or {}
         self.by_word = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec["model"].get("dropout")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
-        self.odd = re.compile(r" (?:(?=\s)|(?<=\s ))")  # a space beside white space
-        self.known: dict[str, bytes] = {}
-        self.line = re.compile(r"(?<=\S)\n(?=\S)")
-        ((self.line_end,),) = self._whole(["\n"])
-        self.newline = np.array([self.line_end], "<u4").tobytes()
-        self.plain = re.compile(r"(\n?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)").fullmatch
-        self.signs: dict[str, bytes] = {}
-        signs = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves
-        others = iter(range(256, 512))
-        self.alphabet = {b: chr(b) if b in signs else chr(next(others)) for b in range(256)}
+        self.odd = re.compile(r" (?:(?=\s)|(?<=\s ))|\n(?:(?!\S)|(?<!\S\n))")  # a space or line end beside white space
+        self.known = _Words(self)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of each word with the space or line end before it. A letter run with its space is
-        one piece for the pre-tokenizer and goes straight to the model, in the byte alphabet; a line end, letters
-        without a space and a run of signs are pieces too, so such words are put together. Other plain words go
-        through the pre-tokenizer many at a time as lines; no id but the line end's holds a line end."""
-        known, letters, lines, odd, made = self.known, [], [], [], []
-        for w in words:
-            match = self.plain(w)
-            if match is not None:
-                run, signs = match.groups()
-                if signs:
-                    made.append((w, run, signs))
-                else:
-                    letters.append(w)
-            elif len(w.split()) == 1 and w == w.strip():
-                lines.append(w)
-            else:
-                odd.append(w)
-        letters += {run for _, run, _ in made}.difference(known, letters)
-        tokenize, alphabet, pack_ids = self.library.model.tokenize, self.alphabet, struct.pack
-        for w in letters:
-            head, text = (self.newline, w[1:]) if w[0] == "\n" else (b"", " " + w)
-            ids = [x.id for x in tokenize(text.encode().decode("latin-1").translate(alphabet))]
-            known[w] = head + pack_ids(f"<{len(ids)}I", *ids)
-        for at in range(0, len(lines), 2000):
-            part = lines[at:at + 2000]
-            ids = np.array(self._whole([" " + "\n ".join(part)])[0], "<u4")
-            blob, start = ids.tobytes(), 0
-            for w, end in zip(part, [*(4 * np.flatnonzero(ids == self.line_end)).tolist(), len(blob)], strict=True):
-                known[w] = blob[start:end]
-                start = end + 4
-        runs = list({signs for _, _, signs in made}.difference(self.signs))
-        for signs, ids in zip(runs, self._whole(runs) if runs else (), strict=True):
-            self.signs[signs] = np.array(ids, "<u4").tobytes()
-        for w, run, signs in made:
-            known[w] = known[run] + self.signs[signs]
-        for w, ids in zip(odd, self._whole([w if w[:1] == "\n" else " " + w for w in odd]) if odd else (), strict=True):
-            known[w] = np.array(ids, "<u4").tobytes()
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, unsigned 32-bit."""
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -278,20 +273,16 @@ class Encoder:
             if not self.by_word or any(s in text for s in self.special):
                 whole.append(i)
             else:
-                head, *words = self.cut.split(text) if self.odd.search(text) else self.line.sub(" \n", text).split(" ")
+                head, *words = self.cut.split(text) if self.odd.search(text) else text.replace("\n", " \n").split(" ")
                 plain.append((i, head, words))
         if len(self.known) > self.LIMIT:
             self.known.clear()
-            self.signs.clear()
-        known = self.known
-        new = {w for _, _, words in plain for w in words}.difference(known)
-        if new:
-            self._learn(list(new))
         heads = list({head for _, head, _ in plain if head})
         first = dict(zip(heads, self._whole(heads), strict=True)) if heads else {}
+        get = self.known.__getitem__
         for i, head, words in plain:
             ids = np.array(first.get(head, ()), "<u4").tobytes()
-            out[i] = np.frombuffer(ids + b"".join(map(known.__getitem__, words)), "<u4")
+            out[i] = np.frombuffer(ids + b"".join(map(get, words)), "<u4")
         if whole:
             for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
                 out[i] = np.array(ids, "<u4")
