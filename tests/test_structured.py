@@ -2,11 +2,12 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from scorelake.operators import kv, layout, matching, qa, reading_order, tables
+from scorelake.operators import kv, layout, matching, qa, reading_order, table_distance, tables
 from scorelake.operators.ordered import count_inversions
 
 GOLD = {"policy": "A-1904", "holder": "Mira Okafor", "insured": ["roof", "garden wall"]}  # four pairs
@@ -221,21 +222,65 @@ def forest_distance(f, g, seen):
             (x, kids_x), (y, kids_y) = f[-1], g[-1]
             seen[f, g] = min(
                 forest_distance(f[:-1] + kids_x, g, seen) + 1, forest_distance(f, g[:-1] + kids_y, seen) + 1,
-                forest_distance(kids_x, kids_y, seen) + forest_distance(f[:-1], g[:-1], seen) + (x != y))
+                forest_distance(kids_x, kids_y, seen) + forest_distance(f[:-1], g[:-1], seen) + rename(x, y))
     return seen[f, g]
 
 
-def test_tree_distance_equals_its_recursion():
-    rename = lambda x, y: float(x != y)
+def rename(x, y):
+    """Labels are ("table",), ("tr",) and ("td", col_span, row_span, text)."""
+    if x == y:
+        return 0.0
+    if x[:3] != y[:3]:
+        return 1.0
+    return plain_distance(x[3], y[3]) / max(len(x[3]), len(y[3]))
+
+
+def plain_distance(x, y):
+    line = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        above, line = line, [i]
+        for j, d in enumerate(y, 1):
+            line.append(min(above[j] + 1, line[-1] + 1, above[j - 1] + (c != d)))
+    return line[-1]
+
+
+@pytest.mark.parametrize("small, band", [(3000, 16), (0, 16), (0, 1)])
+def test_table_distance_equals_the_tree_recursion(monkeypatch, small, band):
+    monkeypatch.setattr(table_distance, "SMALL_CELLS", small)
+    monkeypatch.setattr(table_distance, "LEAST_BAND", band)
     tree = lambda t: ((("table",), tuple((("tr",), tuple((("td", *cell), ()) for cell in row)) for row in t)),)
     rng = random.Random(9)
-    for _ in range(60):
-        a, b = ([[(rng.randint(1, 2), 1, rng.choice("xy")) for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 3))] for _ in range(2))
-        assert tables.tree_distance(a, b, rename) == forest_distance(tree(a), tree(b), {}), (a, b)
+    cell = lambda: (rng.choice([1, 1, 2]), 1, "".join(rng.choice("xy") for _ in range(rng.randint(0, 3))))
+    for k in range(120):
+        a, b = ([[cell() for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 4))] for _ in range(2))
+        if k % 2:  # a few edits
+            b = [list(row) for row in a]
+            for _ in range(2):
+                b.insert(rng.randint(0, len(b)), [cell()])
+                b[rng.randrange(len(b))] += [cell()]
+            del b[rng.randrange(len(b))]
+        assert table_distance.distance(a, b) == pytest.approx(forest_distance(tree(a), tree(b), {})), (a, b)
     one_row, two_rows = [[(1, 1, "x"), (1, 1, "y"), (1, 1, "z")]], [[(1, 1, "x"), (1, 1, "y")], [(1, 1, "z")]]
-    assert tables.tree_distance(two_rows, two_rows, rename) == 0
-    assert tables.tree_distance(two_rows, one_row, rename) == 3
-    assert tables.tree_distance(two_rows, two_rows[1:], rename) == 3
+    assert [table_distance.distance(two_rows, t) for t in (two_rows, one_row, two_rows[1:], [])] == [0, 3, 3, 5]
+
+
+def test_wide_tables_cost_a_band(monkeypatch):
+    """A table of 200 x 20 cells with scattered edits meets few pairs of texts; long texts and the band's end."""
+    rng = random.Random(4)
+    a = [[(1, 1, f"{rng.randrange(10 ** 4)} {rng.choice('abc')}") for _ in range(20)] for _ in range(200)]
+    b = [list(row) for row in a]
+    for _ in range(20):
+        b[rng.randrange(200)][rng.randrange(20)] = (1, 1, "?" * 9)
+    b[7][3] = (1, 1, a[7][3][2] + "x" * 100)
+    changed = sum(plain_distance(x[2], y[2]) / max(len(x[2]), len(y[2])) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
+    del b[50]
+    b.insert(100, a[3])
+    seen = []
+    costs = table_distance.Texts.costs
+    monkeypatch.setattr(table_distance.Texts, "costs", lambda self, x, y: (seen.append(len(x)), costs(self, x, y))[1])
+    start = time.process_time()
+    assert table_distance.distance(a, b) == pytest.approx(changed + 42)
+    assert sum(seen) < 4000 ** 2 / 5 and time.process_time() - start < 10  # about one second on a free core
 
 
 def test_extract_tables(spark):
