@@ -3,8 +3,9 @@
 Features are the runs of one to three characters of the lower-cased text, where anything but a letter
 counts as a space and runs of spaces as one, hashed to 2 ** 15 slots; their weight is (1 + log count) * idf, scaled to
 length one. Document frequencies cover every training row. The weights come from follow-the-regularised-
-leader with an L1 and an L2 penalty over a bounded sample: ``PER_LANGUAGE`` rows of each language, a
-fifth of which is kept back to calibrate the temperature of the softmax.
+leader with an L1 and an L2 penalty over a bounded sample: ``PER_LANGUAGE`` rows of each language (of the
+``sampling.MOST_LABELS`` most frequent, ``sampling.MOST_ROWS`` in all), a fifth of which is kept back to calibrate the
+temperature of the softmax.
 
 A null text, and one without letters, is ``und`` with score 0; so is everything if there is nothing to learn
 from. Rows are independent, other columns are ignored, a null doc_id is in no fold but the training one."""
@@ -140,7 +141,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     frequency, n = document_frequencies(known.select("text"), all_features, SLOTS)
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    sample = bounded_sample(known, "lang", per_language).orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").select("lang", "text")
+    sample = bounded_sample(known, "lang", per_language).orderBy(F.xxhash64("doc_id", "text", F.lit("order")), "doc_id", "text").select("lang", "text")
     table = sample.mapInArrow(frugal(_sampled), "lang string, slots array<int>, counts array<int>").toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
     number = {x: i for i, x in enumerate(languages)}

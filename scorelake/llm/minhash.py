@@ -309,7 +309,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     named = each.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first")
     kept = named.where("label is not null").groupBy("label").agg(first).select("first.doc_id", "first.digest")
-    kept = materialise(kept.unionByName(named.where("label is null").select("doc_id", "digest").distinct())).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"))
-    marked = docs.withColumn("__digest", _digest())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__kept"))
-    return marked.join(kept, same, "leftsemi").dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
+    kept = materialise(kept.unionByName(named.where("label is null").select("doc_id", "digest").distinct()))
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _digest().alias("mark"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("mark").eqNullSafe(F.col("digest"))
+    return marked.join(kept, same, "leftsemi").dropDuplicates(["id", "mark"]).select("row.*")

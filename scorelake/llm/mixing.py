@@ -141,7 +141,7 @@ def _plans(period: int):
 def planned(sources: DataFrame) -> DataFrame:
     """(source, block, epoch, slot) of the whole mixture, for sources (source, weight, blocks)."""
     shares = sources.select("source", "weight", "blocks").coalesce(1).mapInArrow(frugal(_shares(PERIOD)), "period long, source string, first long, share long")
-    dealt = materialise(shares).repartition("period").sortWithinPartitions("period")
+    dealt = materialise(shares).repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "period").sortWithinPartitions("period")
     plan = materialise(dealt.mapInArrow(frugal(_plans(PERIOD)), "source string, number long, slot long"))
     plan = plan.join(sources.select("source", "blocks"), "source")
     end = plan.where(F.col("number") == F.col("blocks") - 1).agg(F.max("slot")).first()[0]

@@ -9,7 +9,8 @@ document meets all of them in blocked exact cosine products, and its ``NEIGHBOUR
 their label weighted by a power of the similarity.
 
 Null and empty texts have no terms; they get the vote of the prior, like texts without any similar labelled row.
-Rows are independent, labels of one document that contradict each other count as the lower one, other
+A doc_id that several rows of documents share gives the
+sample one text, the one with the least hash; each of its rows gets a score. Rows are independent, labels of one document that contradict each other count as the lower one, other
 columns are ignored. Without labelled rows every score is 0.5."""
 
 from __future__ import annotations
@@ -125,7 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     idf = np.log((1 + n) / (1 + frequency)) + 1
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = bounded_sample(known, "label", per_label).select("doc_id", "label")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most per_label rows of each label
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    least = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    texts = texts.groupBy("doc_id", "label").agg(least)  # one text an id, so at most per_label rows of each label
     ordered = texts.orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id", "text").select("label", "text")
     table = ordered.mapInArrow(frugal(_sampled), "label int, slots array<int>, counts array<int>").toArrow()
     dense = np.zeros((len(table), TERMS), np.float32)

@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import frugal, rows
+from scorelake.llm.common import frugal, materialise, rows
 
 
 PART = 256  # texts handled at a time
-MOST_LABELS = 10_000
+MOST_LABELS = 256  # labels that a classifier learns
+MOST_ROWS = 100_000  # rows of a training sample
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -22,17 +23,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def bounded_sample(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows of each label, those with the least hash of their doc_id. A first cut
-    by the hash, where the rows lie, leaves about twice that many of a frequent label, so only these are
-    shuffled and no window sees more. The counts of at most ``MOST_LABELS`` labels are broadcast."""
-    tally = labelled.groupBy(label).agg(F.count("*").alias("__n"))
-    if tally.limit(MOST_LABELS + 1).count() > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels are no classes")
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) / F.lit(float(1 << 53))
-    near = labelled.join(F.broadcast(tally), label).withColumn("__place", place).where(F.col("__place") * F.col("__n") <= 2.0 * per_label + 64)
-    order = Window.partitionBy(label).orderBy("__place", "doc_id")
-    return near.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_label).drop("__rank", "__place", "__n")
+def bounded_sample(labelled: DataFrame, label: str, per_label: int, most_labels: int = MOST_LABELS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """At most ``per_label`` rows of each of the ``most_labels`` most frequent labels (ties: the smaller label), and
+    at most ``most_rows`` in all, shared out evenly. Rows of a label are taken by the least hash of their other
+    columns. A first cut by the hash, where the rows lie, leaves about twice as many of a frequent label as are
+    wanted, so only these are shuffled and no window sees more. The counts of the labels taken are broadcast."""
+    tally = labelled.groupBy(label).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), label).limit(most_labels)
+    tally = materialise(tally)
+    some = min(per_label, max(1, most_rows // max(1, tally.count())))
+    others = [F.col(f"`{c}`") for c in labelled.columns if c != label]
+    place = F.shiftrightunsigned(F.xxhash64(*others, F.lit("sample")), 11) / F.lit(float(1 << 53))
+    near = labelled.join(F.broadcast(tally), label).withColumn("__place", place).where(F.col("__place") * F.col("__n") <= 2.0 * some + 64)
+    order = Window.partitionBy(label).orderBy("__place", *others)
+    return near.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= some).drop("__rank", "__place", "__n")
 
 
 _COUNTS = pa.schema([("feature", pa.int32()), ("n", pa.int64())])

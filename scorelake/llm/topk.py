@@ -14,7 +14,7 @@ rows, in blocks of bounded size. Each task returns k rows a query; a grouped mer
 Shard and block sizes are fixed, so their numbers grow with the data.
 
 Vectors that are null or hold a null or non-finite component take no part, as do rows without an id;
-shorter vectors count as ended with zeros. A repeated id is a candidate as often as it occurs, never for
+components beyond ``MOST`` end the job, as scores would outgrow 64 bits; shorter vectors count as ended with zeros. A repeated id is a candidate as often as it occurs, never for
 a query of the same id; repeated queries of one id share one result. Extra columns are ignored, and
 no queries or no candidates give no rows."""
 
@@ -32,6 +32,7 @@ from scorelake.llm.common import rows
 
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 8192
+MOST = float(1 << 24)  # scores of up to 2 ** 14 components stay exact in 64 bits
 
 
 class Shard:
@@ -108,8 +109,10 @@ def _search(k: int):
 
 
 def weighted(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(id, terms): floor(scale * x) of every component, for the vectors that take part."""
-    terms = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    """(id, terms): floor(scale * x) of every component, for the vectors that take part. A component beyond
+    ``MOST`` is an error."""
+    term = lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")
+    terms = F.transform("embedding", lambda x: F.when(F.abs(F.lit(float(scale)) * x.cast("double")) <= MOST, term(x)).otherwise(F.raise_error(F.lit("a component is out of range"))))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select(F.col("vec_id").cast("long").alias("id"), terms.alias("terms"))
 

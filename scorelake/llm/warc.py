@@ -6,7 +6,9 @@ it (revisit). Each task streams its records into files of about ``FILE_BYTES``,
 attempt that is renamed when complete. Reading: a file is cut into byte ranges of ``SPLIT_BYTES``. A
 task scans its range for the gzip magic, checks a candidate by decoding it up to a WARC version line
 (compressed data may hold the magic by chance), reads members from there on, and owns exactly the
-records that start inside its range, finishing the last one beyond it.
+records that start inside its range, finishing the last one beyond it. Records of all types are returned
+(warcinfo, request, metadata, ...): what is no HTTP message has its whole block as payload, and a header or digest that a
+record does not state is null or taken as it is.
 
 A null html is an empty payload. A null page_id is never smaller than another; if all are null, all
 carry their payload. Rows that share the smallest page_id all carry it. Other columns are ignored and
@@ -32,6 +34,7 @@ MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 256 << 20
 SPLIT_BYTES = 32 << 20
 CHUNK = 1 << 20
+STEP = 1 << 15  # compressed bytes inflated at a time
 DATE = "2026-01-01T00:00:00Z"  # of every record, so that equal input gives equal files
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -49,9 +52,9 @@ def base32_of_hex(digest: Column) -> Column:
 def plan(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, payload, digest and the response's page_id (null for responses) of every row."""
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    seen = seen.withColumn("digest", base32_of_hex(F.sha1("payload")))
+    seen = seen.withColumn("digest", F.sha1("payload"))
     first = seen.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    joined = seen.join(first, "digest", "left")
+    joined = seen.join(first, "digest", "left").withColumn("digest", base32_of_hex(F.col("digest")))
     other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
@@ -133,16 +136,23 @@ class _Window:
     """The bytes of a file from a place on, fetched in chunks."""
 
     def __init__(self, read, size: int, at: int):
-        self.read, self.size, self.at, self.data = read, size, at, b""
+        self.read, self.size, self.base, self.data, self.skip = read, size, at, b"", 0
+
+    @property
+    def at(self) -> int:
+        return self.base + self.skip
+
+    def left(self) -> memoryview:
+        return memoryview(self.data)[self.skip:]
 
     def more(self) -> bool:
-        end = self.at + len(self.data)
+        end = self.base + len(self.data)
         part = self.read(end, min(CHUNK, self.size - end)) if end < self.size else b""
-        self.data += part
+        self.data, self.base, self.skip = bytes(self.left()) + part, self.at, 0
         return bool(part)
 
     def drop(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        self.skip += n
 
 
 def _starts_record(data: bytes) -> bool | None:
@@ -160,10 +170,11 @@ def _inflate(window: _Window) -> bytes:
     """The content of the member at the window's start; the window moves past it."""
     inflater, out = zlib.decompressobj(31), []
     while True:
-        if not window.data and not window.more():
+        part = window.left()[:STEP]
+        if not part and not window.more():
             raise ValueError("a record is cut off")
-        out.append(inflater.decompress(window.data))
-        window.drop(len(window.data) - len(inflater.unused_data))
+        out.append(inflater.decompress(part))
+        window.drop(len(part) - len(inflater.unused_data))
         if inflater.eof:
             return b"".join(out)
 
@@ -172,16 +183,16 @@ def records(read, size: int, start: int, stop: int) -> Iterator[Record]:
     """The records of a file that start in [start, stop)."""
     window = _Window(read, size, start)
     while True:  # to the first member
-        place = window.data.find(MAGIC)
+        place = window.data.find(MAGIC, window.skip) - window.skip
         if place < 0:
-            window.drop(max(0, len(window.data) - 2))
+            window.drop(max(0, len(window.left()) - 2))
             if window.at >= stop or not window.more():
                 return
             continue
         window.drop(place)
         if window.at >= stop:
             return
-        verdict = _starts_record(window.data)
+        verdict = _starts_record(window.left())
         if verdict is None and window.more():
             continue
         if verdict:
@@ -196,6 +207,20 @@ def records(read, size: int, start: int, stop: int) -> Iterator[Record]:
         yield Record(offset, headers, block[:int(headers["content-length"])])
 
 
+def _http(r: Record) -> tuple[bytes, int]:
+    """The payload of a record's block, and its length: an HTTP response without its head, else the whole block. A
+    revisit says in its head how long the payload is that it leaves out."""
+    if not r.headers.get("content-type", "").startswith("application/http"):
+        return r.block, len(r.block)
+    head, _, payload = r.block.partition(b"\r\n\r\n")
+    stated = re.search(rb"(?im)^content-length: *(\d+)", head)
+    return payload, int(stated[1]) if stated and r.headers.get("warc-type") == "revisit" else len(payload)
+
+
+def _sha1(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
 _READ = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()),
                    ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_())])
 _READ_DDL = "path string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, intact boolean"
@@ -208,14 +233,15 @@ def _reads(with_payload: bool):
                 out: list[tuple] = []
                 held = 0
                 for r in records(*files.opened(path), start, stop):
-                    http, _, payload = r.block.partition(b"\r\n\r\n")
-                    length = re.search(rb"(?im)^content-length: *(\d+)", http)
-                    kind, digest = r.headers["warc-type"], r.headers["warc-payload-digest"].removeprefix("sha1:")
-                    whole = base64.b32encode(hashlib.sha1(r.block).digest()).decode() == r.headers["warc-block-digest"].removeprefix("sha1:")
-                    if kind == "response":
-                        whole &= base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest
-                    out.append((path, r.offset, kind, r.headers["warc-record-id"], r.headers["warc-target-uri"], r.headers.get("warc-refers-to"),
-                                digest, len(payload) if kind == "response" else int(length[1]), payload if with_payload and kind == "response" else None, whole))
+                    payload, length = _http(r)
+                    kind, stated = r.headers.get("warc-type"), r.headers.get("warc-payload-digest")
+                    digest, whole = (stated or "").removeprefix("sha1:"), True
+                    if "warc-block-digest" in r.headers:
+                        whole = _sha1(r.block) == r.headers["warc-block-digest"].removeprefix("sha1:")
+                    if kind == "response" and stated is not None:
+                        whole &= _sha1(payload) == digest
+                    out.append((path, r.offset, kind, r.headers.get("warc-record-id"), r.headers.get("warc-target-uri"), r.headers.get("warc-refers-to"),
+                                digest if stated is not None else None, length, payload if with_payload and kind != "revisit" else None, whole))
                     held += len(payload) if with_payload else 100
                     if held > CHUNK:
                         yield rows(_READ, *zip(*out, strict=True))
@@ -227,11 +253,13 @@ def _reads(with_payload: bool):
 
 
 def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
-    """Every record of the folder's archives; ``intact`` tells whether its digests hold."""
-    found = files.listing(spark, folder, "*.warc.gz")
+    """Every record of the folder's archives, of any type; ``intact`` tells whether the SHA-1 digests that it
+    states hold. Ranges are dealt over as many tasks as the session has shuffle partitions."""
+    found = files.listing(spark, folder, "*.warc.gz").where("length > 0")
     ranges = found.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.withColumn("stop", F.col("start") + split_bytes)
-    return ranges.repartition("path", "start").mapInArrow(frugal(_reads(payload)), _READ_DDL)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(n, "path", "start").mapInArrow(frugal(_reads(payload)), _READ_DDL)
 
 
 def page_of(record_id: Column) -> Column:

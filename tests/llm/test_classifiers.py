@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,6 +33,85 @@ def test_sample_is_bounded_and_the_least(spark):
         assert sorted(r["doc_id"] for r in got if r["label"] == label) == sorted(want)
 
 
+def test_sample_takes_the_frequent_labels_and_null_ids(spark):
+    rows = [(None, f"text {i}", f"l{i % 7}" if i % 2 else "hot") for i in range(900)] + [(None, "text", "rare")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = bounded_sample(table, "label", 500, most_labels=3, most_rows=60).collect()
+    assert {r["label"] for r in got} == {"hot", "l1", "l3"} and len(got) == 60
+    assert len({r["text"] for r in got}) == 60
+
+
+def test_languages_are_learned_without_ids(spark):
+    texts = [("the cat and the dog are in the house with you", "en"), ("der Hund und die Katze sind nicht im Haus", "de")]
+    docs = spark.createDataFrame([(None, f"{t} {i}", x) for i in range(2000) for t, x in texts], "doc_id long, text string, lang string")
+    model = langid.train(docs, 100)
+    assert model.languages == ["de", "en"] and [model.predict(t)[0] for t, _ in texts] == ["en", "de"]
+
+
+def grams(text):
+    """Runs of one to three characters, by plain loops."""
+    kept = []
+    for c in text.lower():
+        c = c if c.isalpha() or ord(c) >= 0x3000 else " "
+        if c != " " or not kept or kept[-1] != " ":
+            kept.append(c)
+    return Counter("".join(kept[i:i + n]) for n in (1, 2, 3) for i in range(len(kept) - n + 1))
+
+
+def slot(gram):
+    mask, keys = 2**64 - 1, [int(k) for k in langid._KEYS]
+    x = sum(ord(c) * keys[k] for k, c in enumerate(gram)) + len(gram) & mask
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ x >> shift) * factor & mask
+    return x >> 49
+
+
+def test_ngrams_equal_plain_loops():
+    for _, text, *_ in ROWS:
+        want = Counter()
+        for gram, n in grams(text or "").items():
+            want[slot(gram)] += n
+        slots, counts = langid.features(text)
+        assert dict(zip(slots.tolist(), counts.tolist(), strict=True)) == want
+
+
+def test_follow_the_leader_equals_its_formulas(monkeypatch):
+    """FTRL-proximal one coordinate at a time, and the softmax in plain floats."""
+    monkeypatch.setattr(langid, "SLOTS", 12)
+    rng = np.random.default_rng(2)
+    samples = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4).astype(np.float32), int(rng.integers(0, 3))) for _ in range(30)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    z, n = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return -(z[i][k] - math.copysign(l1, z[i][k])) / ((beta + math.sqrt(n[i][k])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for j in order.permutation(len(samples)):
+            slots, x, label = samples[j]
+            w = {(i, k): weight(i, k) for i in slots for k in range(3)}
+            logits = [sum(float(v) * w[i, k] for i, v in zip(slots, x, strict=True)) for k in range(3)]
+            total = sum(map(math.exp, logits))
+            for i, v in zip(slots, x, strict=True):
+                for k in range(3):
+                    g = float(v) * (math.exp(logits[k]) / total - (k == label))
+                    sigma = (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / alpha
+                    z[i][k] += g - sigma * w[i, k]
+                    n[i][k] += g * g
+    got = langid.follow_the_leader(samples, 3, l1=l1)
+    assert np.allclose(got, [[weight(i, k) for k in range(3)] for i in range(12)], atol=1e-6)
+    assert (got == 0).any()
+
+
+def test_a_repeated_labelled_id_gives_one_vector(spark):
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(3000)] + [(2, "another text")], "doc_id long, text string")
+    model = neighbours.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert len(model.vectors) == 2
+
+
 def test_language_on_held_out_rows(docs):
     model = langid.train(docs)
     got = langid.identified(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(held_out()).collect()

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scorelake.llm import minhash
 from scorelake.llm.words import mix, shingles, word_hashes
@@ -132,6 +133,14 @@ def test_null_id_bridges(spark):
     assert [r["doc_id"] for r in minhash.one_of_each(docs).collect()] == [7]
 
 
+def test_columns_with_clashing_names_stay(spark):
+    rows = [(1, TEXTS[0], "d", 7, True, "r"), (2, TEXTS[0], "e", 8, False, "s"), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __digest string, __id int, __kept boolean, row string").withColumns({"id": F.lit(1), "mark": F.lit("m"), "digest": F.lit("x")})
+    got = minhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r)[:6] for r in got.collect()) == [rows[0], rows[2]]
+
+
 def one_by_one(elements, slots):
     """SuperMinHash as published: element by element, with the early stop on the histogram of ranks."""
     none = 2**64 - 1

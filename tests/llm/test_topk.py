@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from scorelake.llm import topk
 
@@ -36,6 +37,11 @@ def test_few_and_none(spark):
     assert search(spark, [(0, [1.0])], 5, 50) == []
 
 
+def test_components_out_of_range_are_an_error(spark):
+    with pytest.raises(Exception, match="out of range"):
+        search(spark, [(0, [1e30, 1.0]), (1, [1.0, 1.0])], 5, 50)
+
+
 def test_pruning_is_exact():
     rng = np.random.default_rng(2)
     for sparse in (0.0, 0.8):

@@ -64,6 +64,39 @@ def test_magic_inside_a_member():
         assert [r.offset for a in range(0, len(data), step) for r in warc.records(read_at, len(data), a, a + step)] == whole
 
 
+def test_records_of_other_kinds(spark):
+    """What other crawlers write around their responses."""
+    def other(kind, block, *head):
+        lines = [f"WARC-Type: {kind}", *head, f"Content-Length: {len(block)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(lines)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nabc"
+    made = [other("warcinfo", b"software: x\r\n\r\n", "Content-Type: application/warc-fields"),
+            other("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a"),
+            other("response", http, "Content-Type: application/http; msgtype=response", "WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(http).digest()).decode()),
+            other("metadata", b"fetchTimeMs: 4", "WARC-Record-ID: <urn:uuid:1>"), warc.record(7, "u", b"own", digest("own"), None),
+            other("response", http, "Content-Type: application/http", "WARC-Payload-Digest: sha1:" + digest("abd"))]
+    folder = folder_for(spark, "test-warc")
+    out = files.Store(folder).create()
+    out.write(b"".join(map(warc.member, made)))
+    out.commit("foreign.warc.gz")
+    for split in (50, 1 << 20):
+        got = sorted(read(spark, folder, split_bytes=split), key=lambda r: r["offset"])
+        assert [(r["record_type"], r["payload_bytes"], bytes(r["payload"]), r["intact"]) for r in got] == [
+            ("warcinfo", 15, b"software: x\r\n\r\n", True), ("request", 0, b"", True), ("response", 3, b"abc", True), ("metadata", 14, b"fetchTimeMs: 4", True),
+            ("response", 3, b"own", True), ("response", 3, b"abc", False)]
+        assert [r["payload_digest"] for r in got] == [None, None, None, None, digest("own"), digest("abd")]
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    folder = folder_for(spark, "test-warc")
+    many = spark.range(600).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    warc.write_warc(many, folder, file_bytes=2000).collect()
+    got = warc.read_warc(spark, folder, payload=False)
+    assert got.select("path").distinct().count() > 40 and got.count() == 600
+    assert got.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_empty(spark):
     folder = folder_for(spark, "test-warc")
     assert warc.write_warc(pages(spark).limit(0), folder).collect() == []
