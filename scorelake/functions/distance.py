@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHORT_CELLS = 40_000  # below this table size the built-in function wins
+#: Signs for the units that two short sequences share: the shorter one has at most the root of SHORT_CELLS.
+SIGNS = [chr(0x100 + i) for i in range(200)]
 
 
 def bit_distance(a, b) -> int:
@@ -65,19 +67,38 @@ def _long_distances(pred: pd.Series, refs: pd.Series, sep: pd.Series) -> pd.Seri
     return pd.Series([one(p, rs, s) for p, rs, s in zip(pred, refs, sep)])
 
 
+def _units(text: Column, sep: str) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, sep, -1))
+
+
+def _as_signs(units: Column, shared: Column, other: str) -> Column:
+    """A text of one sign a unit: units of both sides by their place in ``shared``, the rest, which equal nothing
+    on the other side, by one sign."""
+    sign = lambda u: F.coalesce(F.get(F.lit(SIGNS), F.array_position(shared, u).cast("int") - 1), F.lit(other))
+    return F.array_join(F.transform(units, sign), "")
+
+
+def _unit_distance(pred: Column, ref: Column) -> Column:
+    shared = F.array_intersect(pred, ref)
+    return F.levenshtein(_as_signs(pred, shared, "<"), _as_signs(ref, shared, ">"))
+
+
 def ref_distances(pred: Column, refs: Column, sep: str = "") -> Column:
     """Distance from ``pred`` to every text of ``refs``; with ``sep`` over the units it
     separates (words, aksharas) instead of code points. A NULL text has a NULL distance. Equal texts
     need no comparison; short ones are compared natively."""
     same = F.coalesce(F.forall(refs, lambda r: r == pred), F.lit(False))
     zero = F.transform(refs, lambda r: F.lit(0))
-    if sep:
-        return F.when(same, zero).otherwise(_long_distances(F.when(~same, pred), F.when(~same, refs), F.lit(sep)))
-    longest = F.array_max(F.transform(refs, F.length))
-    short = F.coalesce(F.length(pred).cast("bigint") * longest, F.lit(0)) <= SHORT_CELLS
+    count = F.length if not sep else lambda c: F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(sep), F.lit(""))) + 1)
+    longest = F.array_max(F.transform(refs, count))
+    short = F.coalesce(count(pred).cast("bigint") * longest, F.lit(0)) <= SHORT_CELLS
     native = same | short
-    far = _long_distances(F.when(~native, pred), F.when(~native, refs), F.lit(""))
-    return F.when(same, zero).when(short, F.transform(refs, lambda r: F.levenshtein(pred, r))).otherwise(far)
+    far = _long_distances(F.when(~native, pred), F.when(~native, refs), F.lit(sep))
+    if sep:
+        near = F.transform(refs, lambda r: _unit_distance(_units(pred, sep), _units(r, sep)))
+    else:
+        near = F.transform(refs, lambda r: F.levenshtein(pred, r))
+    return F.when(same, zero).when(short, near).otherwise(far)
 
 
 def edit_distance(a: Column, b: Column, sep: str = "") -> Column:

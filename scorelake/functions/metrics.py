@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import text as X
 from scorelake.functions.distance import ref_distances
+from scorelake.session import spread
 
 ANLS_THRESHOLD = 0.5
 NUMBER = "^[+-]?(\\d+(_\\d+)*(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?$|(?i)^[+-]?(inf|infinity|nan)$"
@@ -204,7 +205,7 @@ def score_texts(
     wanted = [metric(m) for m in metrics]
     keep = df.columns
     if spread_by:
-        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *spread_by)
+        df = spread(df, *spread_by)
     good = F.col(pred).isNotNull() if ok is None else F.coalesce(F.col(ok), F.lit(False)) & F.col(pred).isNotNull()
     text = X.clean_model_output(F.col(pred)) if postprocess else F.coalesce(F.col(pred), F.lit(""))
     empty = F.array().cast("array<string>")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import text as X
 from scorelake.operators.layout import rect
 from scorelake.operators.qa import ANSWER_NOT_PRESENT
+from scorelake.operators.tables import cell_html
 
 POINTS = "array<array<double>>"
 REGION = (f"region_id:string,id:string,role:string,status:string,render_mode:string,order_rank:int,box_2d:{POINTS},"
@@ -109,18 +110,7 @@ def _cell_text(cell: Column) -> Column:
 
 def table_html(cells: Column) -> Column:
     """Cells of one table as canonical HTML, origin cells in row and column order."""
-    def span(name: str, value: Column) -> Column:
-        return F.when(value > 1, F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))).otherwise("")
-
-    def escaped(c: Column) -> Column:
-        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-            c = F.replace(c, F.lit(raw), F.lit(safe))
-        return c
-
-    def td(c: Column) -> Column:
-        return F.concat(F.lit("<td"), span("colspan", c["col_span"]), span("rowspan", c["row_span"]), F.lit(">"),
-                        escaped(X.canonical(c["text"])), F.lit("</td>"))
-
+    td = lambda c: cell_html(c["col_span"], c["row_span"], c["text"])
     ordered = F.array_sort(F.transform(cells, lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), td(c).alias("td"))))
     rows = F.array_distinct(F.transform(ordered, lambda c: c["row"]))
     tr = lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(ordered, lambda c: c["row"] == r), lambda c: c["td"]), ""), F.lit("</tr>"))

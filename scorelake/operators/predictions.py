@@ -36,13 +36,6 @@ def duplicate_ids(samples: DataFrame, keys: Sequence[str] = RUN_SAMPLE) -> DataF
     return samples.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def assert_unique(samples: DataFrame, keys: Sequence[str] = RUN_SAMPLE) -> DataFrame:
-    worst = duplicate_ids(samples, keys).head(1)
-    if worst:
-        raise ValueError(f"duplicate sample id {worst[0].asDict()}; ids key resume and scoring")
-    return samples
-
-
 def completeness(latest: DataFrame, expected: DataFrame) -> DataFrame:
     """Per expected run: how many samples are there, and may it be evaluated."""
     have = latest.groupBy("run_key").agg(F.count("*").alias("records"))

@@ -191,11 +191,17 @@ def snk_publish_roundtrip(t):
     return readers.result_store(t.spark, path)[0].select("run_id")
 
 
+def _in_order(t):
+    """Documents in ranges of their order: file names follow it, with several files a source."""
+    rows = t.documents.select("source", "doc_id", "text")
+    return rows.repartitionByRange(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "source", "doc_id").sortWithinPartitions("source", "doc_id")
+
+
 @query("src_manifest_ids", "SELECT cast(row_number() OVER (ORDER BY source, doc_id) - 1 AS string) AS sample_id, md5(text) AS reference FROM {documents}")
 def src_manifest_ids(t):
     """Default ids over files of unequal size: the row's place in path order, whatever the splits."""
     path = _folder(t, "manifest")
-    t.documents.select("source", "doc_id", "text").repartition(1).sortWithinPartitions("source", "doc_id").write.partitionBy("source").json(path)
+    _in_order(t).write.partitionBy("source").json(path)
     df = readers.manifest(t.spark, path, "text string")
     return df.select("sample_id", F.md5(F.element_at("references", 1)).alias("reference"))
 
@@ -203,7 +209,7 @@ def src_manifest_ids(t):
 @query("src_columnar_ids", "SELECT 'test-' || cast(row_number() OVER (ORDER BY source, doc_id) - 1 AS string) AS sample_id, md5(text) AS reference FROM {documents}")
 def src_columnar_ids(t):
     path = _folder(t, "columnar")
-    t.documents.select("source", "doc_id", "text").repartition(1).sortWithinPartitions("source", "doc_id").write.partitionBy("source").parquet(path)
+    _in_order(t).write.partitionBy("source").parquet(path)
     return readers.columnar_samples(t.spark, path, "text").select("sample_id", F.md5(F.element_at("references", 1)).alias("reference"))
 
 
@@ -453,12 +459,12 @@ def j_board_layout(t):
 
 def _stream(t, df, parts=3):
     """``df`` as a stream of several files that arrive in sequence order."""
-    path = _folder(t, "stream")
+    path, n = _folder(t, "stream"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     low, high = df.agg(F.min("seq"), F.max("seq")).head()
     part = F.floor((F.col("seq") - low) * parts / (high - low + 1))
     for i in range(parts):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return jobs.file_stream(t.spark, path, df.schema, files_per_batch=1)
+        df.filter(part == i).repartition(n, "run_key", "sample_id").write.mode("append").parquet(path)
+    return jobs.file_stream(t.spark, path, df.schema, files_per_batch=n)
 
 
 def _finish(q):
@@ -484,14 +490,16 @@ def _ticks(t):
     path, out = _folder(t, "log"), _folder(t, "ticks")
     log = t.prediction_log
     first, last = log.agg(F.min("ts"), F.max("ts")).head()
-    log.coalesce(1).write.parquet(path)
+    log.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "run_key", "sample_id").write.parquet(path)
     one = log.orderBy("seq").limit(1)
     late = one.withColumns({"ts": F.lit(first).cast(log.schema["ts"].dataType), "run_key": F.lit("too late")})
     clock = one.withColumns({"ts": (F.lit(last) + F.expr("INTERVAL 1 DAY")).cast(log.schema["ts"].dataType), "run_key": F.lit("clock")})
-    for row in (clock, late):
-        row.coalesce(1).write.mode("append").parquet(path)
-    ticks = jobs.progress(jobs.file_stream(t.spark, path, log.schema, files_per_batch=1))
-    _finish(ticks.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", _folder(t, "cp")).trigger(availableNow=True).start())
+    checkpoint = _folder(t, "cp")
+    for row in (None, clock, late):  # the same job, started again as rows arrive
+        if row is not None:
+            row.write.mode("append").parquet(path)
+        ticks = jobs.progress(jobs.file_stream(t.spark, path, log.schema))
+        _finish(ticks.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     return t.spark.read.schema(ticks.schema).parquet(out)
 
 
@@ -540,6 +548,49 @@ def _polled(t):
     return store
 
 
+@query("st_retraction", (comparable() + RANKED).replace("WITH defs", """WITH kept AS (SELECT * FROM {results} WHERE errors <= cases AND (cast(split_part(run_id, '-', 3) AS int) % 4 < 2
+        OR cast(split_part(run_id, '-', 3) AS int) % 4 = 2 AND cast(split_part(run_id, '-', 2) AS bigint) % 2 = 0)), defs""", 1).replace("{results}", "kept").replace("FROM kept WHERE errors", "FROM {results} WHERE errors", 1) + """
+    SELECT benchmark_id, model_id, rank, greatest(rank, could) AS rank_worst, position FROM ranked""")
+def st_retraction(t):
+    """Results in files by a part of their id. After a first look the files of one part are deleted, those of another
+    replaced by half of their rows; the boards after the second look are those of what is left, and a third look
+    finds nothing to do."""
+    source, store = _folder(t, "source"), _folder(t, "store")
+    rows = S.nest_results(flat_results(t)).withColumn("part", F.split_part("run_id", F.lit("-"), F.lit(3)).cast("int") % 4)
+    rows.write.partitionBy("part").json(source)
+    jobs.poll_store(t.spark, source, store, t.prices)
+    jobs._remove(t.spark, f"{source}/part=3")
+    half = rows.filter("part = 2").filter(F.split_part("run_id", F.lit("-"), F.lit(2)).cast("bigint") % 2 == 0)
+    half.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").json(source)
+    jobs.poll_store(t.spark, source, store, t.prices)
+    if jobs.poll_store(t.spark, source, store, t.prices) is not None:
+        raise AssertionError("nothing changed")
+    return jobs.live(t.spark, store, "boards").select("benchmark_id", "model_id", "rank", "rank_worst", "position")
+
+
+_BURSTS = """SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS n FROM (
+        SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island
+        FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events} WHERE event_type = 'error') x) y GROUP BY user_id, island"""
+
+
+@query("st_error_bursts", _BURSTS)
+def st_error_bursts(t):
+    """Error bursts of each user from a stream that is started three times: the events, a row of a week later, which closes
+    all bursts, and one that is too late."""
+    path, out, checkpoint = _folder(t, "events"), _folder(t, "bursts"), _folder(t, "cp")
+    errors = t.events.filter("event_type = 'error'").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    first, last = errors.agg(F.min("ts"), F.max("ts")).head()
+    errors.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "user_id").write.parquet(path)
+    one = errors.limit(1).withColumn("user_id", F.lit(None).cast(errors.schema["user_id"].dataType))
+    for at in (None, F.lit(last) + F.expr("INTERVAL 7 DAY"), F.lit(first)):
+        if at is not None:
+            one.withColumn("ts", at).write.mode("append").parquet(path)
+        bursts = jobs.error_bursts(jobs.file_stream(t.spark, path, errors.schema), ["user_id"], "ts", "2 hours", "1 hour")
+        _finish(bursts.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    done = t.spark.read.schema(bursts.schema).parquet(out)
+    return done.select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n")
+
+
 @query("st_quarantine", _PROBLEMS)
 def st_quarantine(t):
     return t.spark.read.parquet(f"{_polled(t)}/quarantine").select("run_id", F.array_join("problems", ",").alias("problems"))

@@ -9,7 +9,7 @@ from scorelake.functions import text as X
 from scorelake.functions.distance import similarity
 from scorelake.functions.metrics import melt_scores, score_texts
 from scorelake.operators import aggregate as A
-from scorelake.operators.bootstrap import POISSON, bootstrap_ci
+from scorelake.operators.bootstrap import POISSON, bootstrap_ci, register_sql, sql_interval
 from scorelake.plans.workload import query
 
 WS = "'\\s+', ' ', 'g'"
@@ -230,6 +230,14 @@ def a_bootstrap_ci(t):
     return _rounded(bootstrap_ci(_simple_scores(t), ["run_key"]), "mean", "ci_low", "ci_high")
 
 
+@query("x_sql_bootstrap", _bootstrap_sql("cast(sample_id AS string)"))
+def x_sql_bootstrap(t):
+    """The interval through the SQL table function."""
+    register_sql(t.spark)
+    _simple_scores(t).select("run_key", "sample_id", "value").createOrReplaceTempView("bootstrap_scores")
+    return _rounded(t.spark.sql(sql_interval("bootstrap_scores")), "mean", "ci_low", "ci_high")
+
+
 @query("a_cluster_ci", _bootstrap_sql("source"))
 def a_cluster_ci(t):
     return _rounded(bootstrap_ci(_simple_scores(t), ["run_key"], cluster="source"), "mean", "ci_low", "ci_high")

@@ -257,3 +257,43 @@ def test_drill_down_export(spark, tmp_path):
     assert rows.columns[1:] == list(writers.SAMPLE_COLUMNS) and rows.count() == 2
     writers.write_drill_down(rows, str(tmp_path))
     assert list((tmp_path / "samples" / "run_key=r").glob("*.json.gz"))
+
+
+def result_line(run, model, score, bench="b1", **more):
+    doc = {"schema_version": 1, "run_id": run, "created_at": "2026-01-02T00:00:00Z", "model": {"id": model, "display_name": model, "kind": "vlm"},
+           "benchmark": {"id": bench, "display_name": bench, "category": "ocr", "primary_metric": "acc", "higher_is_better": True, "scale_max": 100.0, "full_cases": 10, "version": "1", "cases_unit": "cases"},
+           "source": {"kind": "measured", "harness": "h"}, "cases": 10, "errors": 0, "metrics": {"acc": {"value": score}}}
+    return json.dumps(doc | more)
+
+
+def test_polling_applies_what_went_away(spark, tmp_path):
+    source, store = tmp_path / "in", str(tmp_path / "store")
+    source.mkdir()
+    shown = lambda: {(r.benchmark_id, r.model_id): (r.score, r.position) for r in jobs.live(spark, store, "boards").collect()}
+    bad = lambda: [r.run_id for r in jobs.current(spark, f"{store}/quarantine").collect()]
+    (source / "a.json").write_text(result_line("r1", "m1", 50.0) + "\n" + result_line("r2", "m2", 60.0))
+    (source / "b.json").write_text(result_line("r3", "m3", 70.0) + "\n" + result_line("r4", "m4", 10.0, "b2") + "\n" + result_line("r9", "m9", 1.0, cases=-1) + "\n{torn")
+    assert jobs.poll_store(spark, str(source), store) == 1
+    assert shown() == {("b1", "m1"): (50.0, 3), ("b1", "m2"): (60.0, 2), ("b1", "m3"): (70.0, 1), ("b2", "m4"): (10.0, 1)}
+    assert sorted(bad(), key=str) == [None, "r9"]
+    assert jobs.poll_store(spark, str(source), store) is None
+    (source / "b.json").unlink()  # b2 loses its only row, the quarantine its file
+    (source / "a.json").write_text(result_line("r1", "m1", 55.5))
+    (source / "c.json").write_text(result_line("r5", "m5", 99.0))
+    # A look that died before its last write left data behind; it is repeated under the same number.
+    spark.range(1).write.parquet(f"{store}/results/batch=2/benchmark_id=b1")
+    assert jobs.poll_store(spark, str(source), store) == 2
+    assert shown() == {("b1", "m1"): (55.5, 2), ("b1", "m5"): (99.0, 1)} and bad() == []
+    (source / "a.json").unlink()
+    (source / "c.json").unlink()
+    (source / "d.json").write_text("")
+    assert jobs.poll_store(spark, str(source), store) == 3 and shown() == {}
+
+
+def test_written_files_are_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("x y/a.json", "é{}"), ("x y/z/b.txt", ""), ("c", "1\n2")], "path string, text string")
+    done = writers.write_files(rows, f"file:{tmp_path}").collect()
+    assert {(r.path, r.bytes) for r in done} == {("x y/a.json", 4), ("x y/z/b.txt", 0), ("c", 3)}
+    assert (tmp_path / "x y/a.json").read_text() == "é{}" and not list(tmp_path.rglob("_*"))
+    writers.write_files(rows, str(tmp_path)).collect()
+    assert sum(p.is_file() for p in tmp_path.rglob("*")) == 3

@@ -288,3 +288,71 @@ def test_extract_tables(spark):
     got = sorted((r.page, r.table_no, r.row, r.col, r.col_span, r.row_span, r.text) for r in tables.extract_tables(pages, "page", "body").collect())
     assert got == [(1, 0, 0, 0, 3, 1, "Ports"), (1, 0, 1, 0, 1, 1, "Oslo"), (1, 0, 1, 1, 1, 1, "ice"), (1, 0, 1, 2, 1, 1, "fog & rain"), (1, 1, 0, 0, 1, 2, "q"),
                    (2, 0, 0, 0, 1, 1, "a"), (2, 0, 0, 1, 1, 1, "b"), (2, 0, 1, 0, 1, 1, ""), (2, 0, 1, 1, 1, 1, "c")]
+
+
+def lines(rng, n):
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    return list({" ".join(rng.choice(words) for _ in range(rng.randint(6, 10))) for _ in range(n)})
+
+
+def edited(rng, text, n):
+    for _ in range(n):
+        i = rng.randrange(len(text))
+        text = text[:i] + rng.choice(["", "#", "##"]) + text[i + 1:]
+    return text
+
+
+def test_close_candidates_keep_every_close_pair(spark):
+    """Against all pairs, over short and long texts with few and many edits."""
+    rng = random.Random(12)
+    gold = lines(rng, 40) + ["a", "ab", "abc d", "x y z w", "0123456789"]
+    pred = [edited(rng, t, rng.choice([0, 1, 2, 5, 9])) for t in gold if t] + ["ab", "b", "0123456"]
+    g = spark.createDataFrame([(1, i, t) for i, t in enumerate(gold)], "s int, gi int, text string")
+    p = spark.createDataFrame([(1, i, t) for i, t in enumerate(pred) if t], "s int, li int, text string")
+    for least, size in matching.STAGES:
+        got = {(r.gi, r.li) for r in matching.close_candidates(g, p, ["s"], "gi", "li", least, size).collect()}
+        sim = lambda a, b: 1 - plain_distance(a, b) / max(len(a), len(b))
+        want = {(i, j) for i, a in enumerate(gold) for j, b in enumerate(pred) if b and sim(a, b) >= least}
+        assert want <= got
+
+
+def test_candidates_grow_with_matches(spark):
+    """A page of 10,000 distinct lines, each with a few errors."""
+    rng = random.Random(13)
+    gold = lines(rng, 10_000)
+    order = list(range(len(gold)))
+    rng.shuffle(order)
+    pred = [edited(rng, gold[i], 3) for i in order]
+    g = spark.createDataFrame([(1, i, t) for i, t in enumerate(gold)], "s int, gi int, text string")
+    p = spark.createDataFrame([(1, i, t) for i, t in enumerate(pred)], "s int, li int, text string")
+    pairs = matching.close_candidates(g, p, ["s"], "gi", "li", *matching.STAGES[0])
+    assert pairs.count() < 5 * len(gold)
+    found = {(r.gi, r.li) for r in matching.match_texts(g, p, ["s"], "gi", "li", reading_order.text_similarity).collect()}
+    assert len(found) == len(gold) and sum((order[li] == gi) for gi, li in found) > 0.999 * len(gold)
+
+
+def test_staged_matching_equals_one_greedy_pass(spark, monkeypatch):
+    rng = random.Random(14)
+    rows = {}
+    for s in range(6):
+        gold = lines(rng, 25) * 1
+        pred = [edited(rng, rng.choice(gold), rng.choice([1, 3, 8, 20])) or "x" for _ in range(30)]
+        rows[s] = (gold, pred)
+    g = spark.createDataFrame([(s, i, t) for s, (a, _) in rows.items() for i, t in enumerate(a)], "s int, gi int, text string")
+    p = spark.createDataFrame([(s, i, t) for s, (_, b) in rows.items() for i, t in enumerate(b)], "s int, li int, text string")
+    monkeypatch.setattr(matching, "MANY_PAIRS", 0)
+    got = {(r.s, r.gi, r.li) for r in matching.match_texts(g, p, ["s"], "gi", "li", reading_order.text_similarity).collect()}
+    want = set()
+    for s, (a, b) in rows.items():
+        sims = [(1 - plain_distance(x, y) / max(len(x), len(y)), i, j) for i, x in enumerate(a) for j, y in enumerate(b)]
+        want |= {(s, i, j) for i, j in greedy([x for x in sims if x[0] >= 0.5])}
+    assert got == want
+
+
+def test_best_value_under_a_key(spark):
+    rng = random.Random(15)
+    text = lambda: "".join(rng.choice("ab c") for _ in range(rng.randint(0, 9)))
+    rows = [(i, text(), [text() for _ in range(rng.randint(0, 6))]) for i in range(200)]
+    got = spark.createDataFrame(rows, "i int, t string, o array<string>").select("i", kv.best_similarity(F.col("t"), F.col("o")).alias("v")).collect()
+    sim = lambda a, b: 1 - plain_distance(a, b) / max(len(a), len(b)) if a or b else 1.0
+    assert {r.i: r.v for r in got} == {i: pytest.approx(max((sim(t, x) for x in o), default=0.0)) for i, t, o in rows}

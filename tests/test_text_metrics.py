@@ -130,3 +130,15 @@ def test_short_value_functions_use_no_python(spark):
     df = spark.createDataFrame([("a", "b")], "a string, b string")
     plan = df.select(distance.similarity(F.col("a"), F.col("b")), X.loose(F.col("a")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_short_unit_distances_equal_long_ones(spark, monkeypatch):
+    """Sequences compared through signs in the JVM, and by the bit-parallel form."""
+    rng = random.Random(21)
+    words = lambda: " ".join(rng.choice(["a", "b", "cc", "é", "x.*", "<", ">"]) for _ in range(rng.randint(0, 12)))
+    rows = [(i, words(), [words() for _ in range(rng.randint(1, 3))]) for i in range(150)] + [(900, "", [""]), (901, "a", [""]), (902, "a b", [None, "b"]), (903, " ".join(map(str, range(195))), [" ".join(map(str, range(3, 200)))])]
+    df = spark.createDataFrame(rows, "i int, p string, r array<string>")
+    near = {r.i: r.d for r in df.select("i", distance.ref_distances(F.col("p"), F.col("r"), " ").alias("d")).collect()}
+    monkeypatch.setattr(distance, "SHORT_CELLS", -1)
+    far = {r.i: r.d for r in df.select("i", distance.ref_distances(F.col("p"), F.col("r"), " ").alias("d")).collect()}
+    assert near == far and near[903] == [8] and near[902] == [None, 1]
