@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     idf = np.log((1 + n) / (1 + frequency)) + 1
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = bounded_sample(known, "label", per_label).select("doc_id", "label")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most per_label ids of each label
     least = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
     texts = texts.groupBy("doc_id", "label").agg(least)  # one text an id, so at most per_label rows of each label
     ordered = texts.orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id", "text").select("label", "text")
