@@ -119,7 +119,7 @@ class Normaliser:
         self.spec, self.map = spec, CharMap(spec.charmap)
         self.own = re.compile("|".join(map(re.escape, sorted(spec.user_defined, key=len, reverse=True)))) if spec.user_defined else None
 
-    def _runs(self, text: str) -> Iterator[tuple[str, str]]:
+    def runs(self, text: str) -> Iterator[tuple[str, str]]:
         """(original, normalised) pieces; equal strings are plain copies of any length."""
         kept = [(m.start(), m.end()) for m in self.own.finditer(text)] if self.own else []
         at = 0
@@ -143,7 +143,7 @@ class Normaliser:
             out, source = np.frombuffer(original, np.uint8), np.arange(len(original), dtype=np.int64)
         else:
             chunks, sources, at = [], [], 0
-            for old, new in self._runs(text):
+            for old, new in self.runs(text):
                 a, b = old.encode(), new.encode()
                 chunks.append(b)
                 sources.append(at + np.arange(len(a)) if old == new else np.full(len(b), at))
@@ -187,6 +187,8 @@ class Codec:
         n = self.library.get_piece_size()
         self.length = np.array([1 if self.library.is_byte(i) else len(self.library.id_to_piece(i).encode()) for i in range(n)], np.int64)
         self.unknown = self.library.unk_id()
+        self.surface = [bytes([int(self.library.id_to_piece(i)[1:-1], 16)]) if self.library.is_byte(i) else self.library.id_to_piece(i).encode() for i in range(n)]
+        self.is_byte = np.array([self.library.is_byte(i) for i in range(n)])
         self.known: dict[str, bytes] = {}
         self.runs = re.compile(r" *[^ ]+")
 
@@ -236,13 +238,36 @@ class Codec:
         return np.stack([bounds[:-1], bounds[1:]], axis=1)
 
 
+    def aligned(self, text: str, ids: np.ndarray, spans: np.ndarray) -> bool:
+        """Whether the spans lie side by side over the whole text, and each piece is what becomes of the original
+        bytes of its span: put back together from them, the pieces are those of the ids."""
+        data = text.encode()
+        if not len(ids):
+            return not self.normalise(text).text
+        if spans[0, 0] != 0 or spans[-1, 1] != len(data) or (spans[1:, 0] != spans[:-1, 1]).any():
+            return False
+        spec = self.spec
+        if spec.charmap or spec.user_defined or spec.trim or spec.suffix or not (spec.dummy_prefix and spec.escape) or (ids == self.unknown).any():
+            return all(self._made_of(data[a:b], i) for (a, b), i in zip(spans.tolist(), ids.tolist(), strict=True))
+        spaces = np.append(0, np.cumsum(np.frombuffer(data, np.uint8) == 32))  # a space becomes three bytes, and one comes first
+        places = spans[:, 1] + 2 * spaces[spans[:, 1]] + 3
+        whole = b"".join(map(self.surface.__getitem__, ids.tolist()))
+        return bool((places == np.cumsum(self.length[ids])).all()) and whole == (b" " + data).replace(b" ", SIGN.encode())
+
+    def _made_of(self, data: bytes, i: int) -> bool:
+        if i == self.unknown or self.is_byte[i]:
+            return i == self.unknown or bool(self.spec.charmap) or data in (self.surface[i], b"")
+        made = "".join(new for _, new in self.normalise.runs(data.decode()))
+        return " ".join(made.replace(SIGN, " ").split(" ")).strip(" ") == self.surface[i].decode().replace(SIGN, " ").strip(" ")
+
+
 @cache
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())),
-                     ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_bytes", pa.int64()), ("covered", pa.bool_())])
+                     ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_bytes", pa.int64()), ("aligned", pa.bool_())])
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -262,7 +287,7 @@ def _encodes(path: str, with_ids: bool, with_spans: bool):
                 none = pa.nulls(len(texts), pa.list_(pa.int32()))
                 yield rows(_SCHEMA, batch.column(0), [len(x) for x in ids], _lists(ids) if with_ids else none, *([_lists([s[:, k] for s in spans]) for k in (0, 1)] if with_spans else [none] * 2),
                            [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
-                           [len(t.encode()) for t in texts], [bool((s[1:, 0] == s[:-1, 1]).all()) for s in spans])
+                           [len(t.encode()) for t in texts], [tool.aligned(t, x, s) for t, x, s in zip(texts, ids, spans, strict=True)])
 
     return encode
 
@@ -270,7 +295,7 @@ def _encodes(path: str, with_ids: bool, with_spans: bool):
 def encoded(docs: DataFrame, path: str, ids: bool = True, spans: bool = True) -> DataFrame:
     """For every row: doc_id, n_tokens, the ids and their byte spans in the text (starts, ends; null
     lists where not asked for), digests of the ids and of the decoded text, the text's bytes, and
-    whether the spans cover it without gaps."""
+    whether the pieces put back together from the spans' original bytes are those of the ids."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(frugal(_encodes(path, ids, spans)), "doc_id long, n_tokens long, ids array<int>, starts array<int>, ends array<int>, "
-                                                   "ids_sha256 string, decoded_sha256 string, n_bytes long, covered boolean")
+                                                   "ids_sha256 string, decoded_sha256 string, n_bytes long, aligned boolean")

@@ -51,7 +51,7 @@ def op1_simple8b(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_sentencepiece")
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     done = pieces.encoded(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), ids=False, spans=False)
-    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "covered")
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "aligned")
 
 
 @query("op3_maxscore", """
