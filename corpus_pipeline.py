@@ -38,10 +38,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mixture."""
+    """Token ids of every document of the mixture, and whether its pieces are those of their spans in the text."""
     prepare(spark)
     done = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), spans=False)
-    return done.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return done.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "aligned")
 
 
 STAGES = [
