@@ -11,6 +11,7 @@ from scorelake.functions.metrics import melt_scores, score_texts
 from scorelake.operators import aggregate as A
 from scorelake.operators.bootstrap import POISSON, bootstrap_ci, register_sql, sql_interval
 from scorelake.plans.workload import query
+from scorelake.session import materialise
 
 WS = "'\\s+', ' ', 'g'"
 # Canonical reference and prediction, and what the edits cost (see the workload's note).
@@ -274,6 +275,24 @@ def a_latency_stats(t):
     return A.latency_stats(t.prediction_log)
 
 
+@query("a_latency_sketches", """SELECT run_key, count(*) AS n, round(avg(latency_s), 6) AS latency_mean, true AS p50_close, true AS p95_close FROM {prediction_log} WHERE ok AND latency_s IS NOT NULL GROUP BY 1
+    UNION ALL SELECT 'all', count(*), round(avg(latency_s), 6), true, true FROM {prediction_log} WHERE ok AND latency_s IS NOT NULL""")
+def a_latency_sketches(t):
+    """Sketches of the parts of a log, merged into runs and into all runs; their percentiles lie within one percent of the
+    rank asked for."""
+    log = t.prediction_log
+    parts = materialise(A.latency_sketches(log.withColumn("part", F.col("seq") % 7), ["run_key", "part"]))
+    runs = A.latency_of_sketches(parts).unionByName(A.latency_of_sketches(parts.withColumn("run_key", F.lit("all"))))
+    rows = log.filter("ok AND latency_s IS NOT NULL").select("run_key", F.col("latency_s").cast("double").alias("v"))
+    rows = rows.unionByName(rows.withColumn("run_key", F.lit("all"))).join(runs, "run_key")
+
+    def close(name, p):
+        below, upto = F.count_if(F.col("v") < F.col(name)) / F.count("*"), F.count_if(F.col("v") <= F.col(name)) / F.count("*")
+        return ((below <= p + 0.01) & (upto >= p - 0.01)).alias(f"{name[8:]}_close")
+
+    return rows.groupBy("run_key", "n", F.round("latency_mean", 6).alias("latency_mean")).agg(close("latency_p50", 0.5), close("latency_p95", 0.95))
+
+
 @query("a_token_totals", """SELECT run_key, counter, cast(sum(amount) AS double) AS total FROM (SELECT run_key, unnest(['prompt_tokens', 'completion_tokens']) AS counter,
     unnest([prompt_tokens, completion_tokens]) AS amount FROM {answers} WHERE ok) x GROUP BY ALL""")
 def a_token_totals(t):
