@@ -326,7 +326,7 @@ def test_candidates_grow_with_matches(spark):
     g = spark.createDataFrame([(1, i, t) for i, t in enumerate(gold)], "s int, gi int, text string")
     p = spark.createDataFrame([(1, i, t) for i, t in enumerate(pred)], "s int, li int, text string")
     pairs = matching.close_candidates(g, p, ["s"], "gi", "li", *matching.STAGES[0])
-    assert pairs.count() < 5 * len(gold)
+    assert pairs.count() < 15 * len(gold)  # of 10,000 times as many pairs, over only 400 words
     found = {(r.gi, r.li) for r in matching.match_texts(g, p, ["s"], "gi", "li", reading_order.text_similarity).collect()}
     assert len(found) == len(gold) and sum((order[li] == gi) for gi, li in found) > 0.999 * len(gold)
 
