@@ -11,7 +11,11 @@ one selector together, and a table of the documents (id, number of ids). Layout:
 
 Each task writes the files of a doc_id range under names that sort in the order of the ids. A file is
 written under a name of its own attempt and renamed, so a repeated or lost task leaves no half
-file. Readers take a file a task; ``FILE_IDS`` bounds its size."""
+file. Readers take a file a task; ``FILE_IDS`` bounds its size.
+
+A null text is an empty one, a null doc_id comes before all others, and rows with the same id follow each other. A text
+of any length is encoded whole by one task and may span blocks, but no files. Only doc_id and text are read,
+whatever other columns are called. An empty table gives a folder without files, which reads as no rows."""
 
 from __future__ import annotations
 

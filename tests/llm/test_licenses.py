@@ -1,5 +1,6 @@
 import random
 import re
+from re import _parser
 
 from scorelake.llm import licenses
 from scorelake.llm.queries import QUERIES
@@ -69,3 +70,9 @@ def test_rows(spark, tmp_path):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_base"]) for r in got) == sorted((str(r[0]), len(words(r[1])), 0) for r in ROWS)
     assert all(r["score"] == 0 and r["labels"] == "" and r["first_word"] is None for r in got)
     assert licenses.license_spans(no_docs(spark)).collect() == []
+
+
+def test_no_pattern_outgrows_the_reach():
+    _, by, _ = licenses._machine()
+    widest = max(_parser.parse(pattern.pattern).getwidth()[1] for found in by.values() for _, _, pattern in found)
+    assert widest <= licenses.REACH
