@@ -83,10 +83,14 @@ def _unit_distance(pred: Column, ref: Column) -> Column:
     return F.levenshtein(_as_signs(pred, shared, "<"), _as_signs(ref, shared, ">"))
 
 
-def ref_distances(pred: Column, refs: Column, sep: str = "") -> Column:
+def ref_distances(pred: Column, refs: Column, sep: str = "", reach: float | None = None) -> Column:
     """Distance from ``pred`` to every text of ``refs``; with ``sep`` over the units it
     separates (words, aksharas) instead of code points. A NULL text has a NULL distance. Equal texts
-    need no comparison; short ones are compared natively."""
+    need no comparison; short ones are compared natively. With ``reach``, a text whose length alone puts the
+    similarity (1 - distance / longer length) below it is not compared and has a NULL distance."""
+    if reach is not None:
+        n = F.length(pred)
+        refs = F.transform(refs, lambda r: F.when(F.least(n, F.length(r)) >= reach * F.greatest(n, F.length(r)), r))
     same = F.coalesce(F.forall(refs, lambda r: r == pred), F.lit(False))
     zero = F.transform(refs, lambda r: F.lit(0))
     count = F.length if not sep else lambda c: F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(sep), F.lit(""))) + 1)

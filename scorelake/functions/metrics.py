@@ -85,7 +85,7 @@ _STAGES: dict[str, tuple[tuple[str, ...], Callable[[], dict[str, Column]]]] = {
     "d_loose": (("loose",), lambda: {
         "_d_loose": ref_distances(F.col("_p_loose"), F.col("_r_loose"), " ")}),
     "d_lower": (("lower",), lambda: {
-        "_d_lower": ref_distances(F.col("_p_lower"), F.col("_r_lower"))}),
+        "_d_lower": ref_distances(F.col("_p_lower"), F.col("_r_lower"), reach=ANLS_THRESHOLD)}),
 }
 
 
@@ -124,8 +124,8 @@ def _length_ratio(pred, refs):
 
 
 def anls_value(pred: Column, refs: Column, dists: Column) -> Column:
-    """Best similarity over the references, 0 below the threshold; ``refs`` are collapsed
-    lower-case texts."""
+    """Best similarity over the references, 0 below the threshold, which a reference without a distance is; ``refs``
+    are collapsed lower-case texts."""
     def one(d, r):
         longest = F.greatest(F.length(r), F.length(pred))
         sim = F.when(longest == 0, 1.0).otherwise(1.0 - d / longest)

@@ -142,3 +142,9 @@ def test_short_unit_distances_equal_long_ones(spark, monkeypatch):
     monkeypatch.setattr(distance, "SHORT_CELLS", -1)
     far = {r.i: r.d for r in df.select("i", distance.ref_distances(F.col("p"), F.col("r"), " ").alias("d")).collect()}
     assert near == far and near[903] == [8] and near[902] == [None, 1]
+
+
+def test_lengths_out_of_reach_are_not_compared(spark):
+    df = spark.createDataFrame([("abcd", ["ab", "a", "abcdefgh", "abcdefghi", None, "abcd"]), ("", ["", "a"])], "p string, r array<string>")
+    got = [r.d for r in df.select(distance.ref_distances(F.col("p"), F.col("r"), reach=0.5).alias("d")).collect()]
+    assert got == [[2, None, 4, None, None, 0], [0, None]]
