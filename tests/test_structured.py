@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from scorelake import session
 from scorelake.operators import kv, layout, matching, qa, reading_order, table_distance, tables
 from scorelake.operators.ordered import count_inversions
 
@@ -356,3 +357,19 @@ def test_best_value_under_a_key(spark):
     got = spark.createDataFrame(rows, "i int, t string, o array<string>").select("i", kv.best_similarity(F.col("t"), F.col("o")).alias("v")).collect()
     sim = lambda a, b: 1 - plain_distance(a, b) / max(len(a), len(b)) if a or b else 1.0
     assert {r.i: r.v for r in got} == {i: pytest.approx(max((sim(t, x) for x in o), default=0.0)) for i, t, o in rows}
+
+
+def test_matching_broadcasts_no_exploded_rows(spark, monkeypatch):
+    """Rows that compress well come from small files; their cells must not be collected on the driver."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return session.materialise(df)
+
+    monkeypatch.setattr(matching, "materialise", seen)
+    items = spark.range(300).selectExpr("id as sample_id", "cast(0 as int) as gi", "cast(0 as int) as pi", "array(0.1D, 0.1D, 0.7D, 0.2D) as box")
+    moved = items.withColumn("box", F.transform("box", lambda v: v + 0.01))
+    out = matching.match_boxes(items.drop("pi"), moved.drop("gi"), ["sample_id"], "gi", "pi")
+    assert out.count() == 300
+    assert plans and not any("BroadcastExchange" in p for p in plans)
