@@ -148,3 +148,18 @@ def test_lengths_out_of_reach_are_not_compared(spark):
     df = spark.createDataFrame([("abcd", ["ab", "a", "abcdefgh", "abcdefghi", None, "abcd"]), ("", ["", "a"])], "p string, r array<string>")
     got = [r.d for r in df.select(distance.ref_distances(F.col("p"), F.col("r"), reach=0.5).alias("d")).collect()]
     assert got == [[2, None, 4, None, None, 0], [0, None]]
+
+
+def test_bit_distance_of_long_sequences(monkeypatch):
+    """Replacements and omissions are settled without a table; mixed edits by bands of it, as all rows give."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh क😀") for _ in range(1500))
+    mixed = "".join(rng.choice(("", c, c, c, c, c, c, c, "x" + c)) for c in text)
+    assert distance.bit_distance(text, mixed) == distance.bit_distance(mixed, text) == plain_distance(text, mixed)
+    assert distance.bit_distance(text.split("a"), mixed.split("a")) == plain_distance(text.split("a"), mixed.split("a"))
+    other = "".join(rng.sample(text, len(text)))
+    assert distance.bit_distance(text, other) == plain_distance(text, other)
+    monkeypatch.delattr(distance, "_within")
+    assert distance.bit_distance(text, text.replace("e", "¤")) == text.count("e")
+    assert distance.bit_distance(text.replace("c", ""), text) == text.count("c")
+    assert distance.bit_distance(text.split(), [w.replace("e", "¤") for w in text.split()]) == sum("e" in w for w in text.split())
