@@ -297,3 +297,18 @@ def test_written_files_are_whole(spark, tmp_path):
     assert (tmp_path / "x y/a.json").read_text() == "é{}" and not list(tmp_path.rglob("_*"))
     writers.write_files(rows, str(tmp_path)).collect()
     assert sum(p.is_file() for p in tmp_path.rglob("*")) == 3
+
+
+def test_published_results_are_stored_compressed(spark, tmp_path):
+    """A JSON line repeats every field name, so a store of plain lines is many times its content."""
+    rows = spark.range(50).selectExpr("cast(id as string) AS run_id", "cast(null as string) AS note")
+    writers.write_results(rows, str(tmp_path))
+    files = list((tmp_path / "runs").glob("part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert spark.read.json(f"{tmp_path}/runs").count() == 50
+
+
+def test_a_benchmark_is_stored_by_several_tasks(spark):
+    rows = spark.range(2000).selectExpr("'one' AS benchmark_id", "cast(id as string) AS run_id")
+    sizes = [r["n"] for r in rows.repartition(8, "benchmark_id", jobs._share("run_id")).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 1500
