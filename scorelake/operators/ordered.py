@@ -24,8 +24,9 @@ def _with_bins(df: DataFrame, group: Sequence[str], x: str, bin_: Column | None)
     if bin_ is not None:
         return df.withColumn("_bin", bin_)
     cuts = [i / BINS for i in range(1, BINS)]
-    # Cut points must compare exactly with x, so both are doubles.
-    edges = df.groupBy(*group).agg(F.percentile_approx(F.col(x).cast("double"), cuts, 2000).alias("_edges"))
+    # Cut points must compare exactly with x, so both are doubles. A sketch depends on the order in which its parts arrive:
+    # the cuts are written, so that bins and their totals are made from the same ones.
+    edges = materialise(df.groupBy(*group).agg(F.percentile_approx(F.col(x).cast("double"), cuts, 2000).alias("_edges")))
     joined = df.join(edges, list(group)) if group else df.join(edges)
     below = F.filter("_edges", lambda e: e < F.col(x).cast("double"))
     return joined.withColumn("_bin", F.size(below)).drop("_edges")

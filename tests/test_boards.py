@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,23 @@ def test_scan_over_many_bins(spark):
             total += vs[x]
 
 
+def test_scan_with_cuts_that_come_out_anew(spark, monkeypatch):
+    """Cut points of a sketch need not be the same when they are made twice."""
+    @F.pandas_udf("array<double>")
+    def cuts(x: pd.Series) -> list:
+        return sorted(random.SystemRandom().uniform(x.min(), x.max()) for _ in range(20))
+
+    monkeypatch.setattr(O.F, "percentile_approx", lambda x, *_: cuts(x))
+    df = spark.range(2000).select((F.col("id") % 2).alias("g"), F.col("id").alias("x"), F.lit(1).alias("v"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = O.scan(df, ["g"], "x", "v").select("x", "upto").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert all(r.upto == r.x // 2 + 1 for r in got) and len(got) == 2000
+
+
 def test_nearest_ranks(spark):
     data = {"two": [1.0, 2.0], "one": [5.0], "many": [float(i % 37) for i in range(500)]}
     rows = [(g, v) for g, vs in data.items() for v in vs] + [("two", None)]
