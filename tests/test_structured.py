@@ -291,6 +291,15 @@ def test_extract_tables(spark):
                    (2, 0, 0, 0, 1, 1, "a"), (2, 0, 0, 1, 1, 1, "b"), (2, 0, 1, 0, 1, 1, ""), (2, 0, 1, 1, 1, 1, "c")]
 
 
+def test_tables_are_read_in_one_pass(spark):
+    """No sorting and summing over tokens, and what makes the pages is worked out once, not once for HTML and once for markdown."""
+    made = spark.range(4).groupBy("id").agg(F.concat(F.lit("<table><td>"), F.max("id"), F.lit("&am<b>p;</table>")).alias("body"))
+    out = tables.extract_tables(made, "id", "body")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Range (") == 1
+    assert sorted((r.id, r.text) for r in out.collect()) == [(i, f"{i}&amp;") for i in range(4)]
+
+
 def lines(rng, n):
     words = ["".join(rng.choice("abcdefghijklmnoprstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(400)]
     return list({" ".join(rng.choice(words) for _ in range(rng.randint(6, 10))) for _ in range(n)})
