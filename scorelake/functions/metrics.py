@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions import text as X
-from scorelake.functions.distance import ref_distances
+from scorelake.functions.distance import ref_distances, unit_distances
 from scorelake.session import spread
 
 ANLS_THRESHOLD = 0.5
@@ -51,10 +51,6 @@ def metric_names() -> list[str]:
 # --- shared stages: name -> (columns it needs first, its columns) -------------------------
 
 
-def _joined_aksharas(c: Column) -> Column:
-    return F.array_join(X.aksharas(c), X.UNIT_SEPARATOR)
-
-
 def _each(fn):
     return lambda refs: F.transform(refs, fn)
 
@@ -65,12 +61,6 @@ _STAGES: dict[str, tuple[tuple[str, ...], Callable[[], dict[str, Column]]]] = {
         "_r_canon": _each(X.canonical)(F.col("_refs1"))}),
     "loose": ((), lambda: {
         "_p_loose": X.loose(F.col("_pred")), "_r_loose": _each(X.loose)(F.col("_refs1"))}),
-    "units": (("canon",), lambda: {
-        "_p_units": _joined_aksharas(F.col("_p_canon")),
-        "_r_units": _each(_joined_aksharas)(F.col("_r_canon"))}),
-    "fold": (("units",), lambda: {
-        "_p_fold": X.fold_digits(F.col("_p_units")),
-        "_r_fold": _each(X.fold_digits)(F.col("_r_units"))}),
     "lower": ((), lambda: {
         "_p_lower": X.collapse(F.lower("_pred")),
         "_r_lower": _each(lambda r: X.collapse(F.lower(r)))(F.col("_refs1"))}),
@@ -78,10 +68,10 @@ _STAGES: dict[str, tuple[tuple[str, ...], Callable[[], dict[str, Column]]]] = {
         "_d_char": ref_distances(F.col("_p_canon"), F.col("_r_canon"))}),
     "d_word": (("canon",), lambda: {
         "_d_word": ref_distances(F.col("_p_canon"), F.col("_r_canon"), " ")}),
-    "d_unit": (("units",), lambda: {
-        "_d_unit": ref_distances(F.col("_p_units"), F.col("_r_units"), X.UNIT_SEPARATOR)}),
-    "d_fold": (("fold",), lambda: {
-        "_d_fold": ref_distances(F.col("_p_fold"), F.col("_r_fold"), X.UNIT_SEPARATOR)}),
+    "d_unit": (("canon",), lambda: {
+        "_d_unit": unit_distances(fold=False)(F.col("_p_canon"), F.col("_r_canon"))}),
+    "d_fold": (("canon",), lambda: {
+        "_d_fold": unit_distances(fold=True)(F.col("_p_canon"), F.col("_r_canon"))}),
     "d_loose": (("loose",), lambda: {
         "_d_loose": ref_distances(F.col("_p_loose"), F.col("_r_loose"), " ")}),
     "d_lower": (("lower",), lambda: {
@@ -167,8 +157,12 @@ def _anls(_p, refs):
 
 
 def _unit_rate(kind: str = "unit") -> Column:
-    source = "units" if kind == "unit" else "fold"
-    return _error_rate(f"_p_{source}", f"_r_{source}", f"_d_{kind}", X.UNIT_SEPARATOR)
+    found = F.col(f"_d_{kind}")
+
+    def rate(d, n):
+        return F.when(n == 0, F.when(found["size"] == 0, 0.0).otherwise(1.0)).otherwise(d / n)
+
+    return F.array_min(F.zip_with(found["d"], found["n"], rate))
 
 
 register_metric("cer", lambda p, r: _error_rate("_p_canon", "_r_canon", "_d_char"), 1, ["d_char"])

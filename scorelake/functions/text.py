@@ -4,12 +4,17 @@ and only for rows that are not plain ASCII."""
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
 WHITESPACE = "[\\t-\\r\\x1c-\\x20\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+# The same signs for Java's patterns: one look at a sign's category instead of a walk through a list of ranges.
+SPACES = "[\\s\\x1c-\\x1f]+"
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
 LATIN_DIGITS = "0123456789"
 PUNCTUATION = "[\\p{P}\\u0964\\u0965\\u0970]"
@@ -50,11 +55,11 @@ def casefold(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, WHITESPACE + "+", " "))
+    return F.trim(F.regexp_replace(c, "(?U)" + SPACES, " "))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"\\A{WHITESPACE}+|{WHITESPACE}+\\z", "")
+    return F.regexp_replace(c, f"(?U)\\A{SPACES}|{SPACES}\\z", "")
 
 
 def canonical(c: Column) -> Column:
@@ -81,6 +86,44 @@ def aksharas(c: Column) -> Column:
     return F.regexp_extract_all(strip_zero_width(c), F.lit(AKSHARA), F.lit(0))
 
 
+#: What a sign can be in an akshara, for the signs 0x900 to 0x97f; 0 stands alone.
+_KINDS = np.zeros(129, np.uint8)  # the last place is for all other signs
+_C, _N, _V, _MARK, _VIRAMA = 1, 2, 3, 4, 5
+for _pattern, _kind in ((CONSONANT, _C), (VOWEL, _V), (MARK, _MARK)):
+    _listed = re.compile(_pattern)
+    _KINDS[[i for i in range(128) if _listed.match(chr(0x900 + i))]] = _kind
+_KINDS[0x3C], _KINDS[0x4D] = _N, _VIRAMA
+_ZERO_WIDTH = np.array([ord(z) for z in ZERO_WIDTH], np.uint32)
+
+
+def joined_aksharas(text: str, fold: bool = False) -> str:
+    """The aksharas of a text with the unit separator between them, with ``fold`` digits the Latin way. Which signs go on with the unit before them
+    follows from the signs just before (and, for marks, from what their run began with), so it is told for all at once."""
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not text.isascii():
+        signs = signs[~np.isin(signs, _ZERO_WIDTH)]
+    if fold:
+        signs = np.where((signs >= 0x966) & (signs <= 0x96F), signs - np.uint32(0x966 - 0x30), signs)
+    if not len(signs):
+        return ""
+    kind = _KINDS[np.minimum(signs - np.uint32(0x900), 128)]  # signs below wrap around
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+    nukta = (kind == _N) & (before == _C)
+    # A consonant with or without nukta, or a vowel, is what marks follow.
+    place = np.arange(len(kind))
+    head = np.maximum.accumulate(np.where(kind == _MARK, -1, place))
+    led = np.where(head >= 0, kind[head], 0)
+    led = np.where((led == _N) & nukta[head], _C, led)
+    mark = (kind == _MARK) & ((led == _C) | (led == _V))
+    prior = lambda x: np.concatenate([np.zeros(1, x.dtype), x[:-1]])
+    virama = (kind == _VIRAMA) & (prior(led) == _C)
+    conjunct = (kind == _C) & prior(virama & (before != _MARK))
+    goes_on = nukta | mark | virama | conjunct
+    starts = np.flatnonzero(~goes_on)[1:]
+    out = np.insert(signs, starts, ord(UNIT_SEPARATOR))
+    return out.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def words(c: Column) -> Column:
     """Words of a canonical (already collapsed) text."""
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))

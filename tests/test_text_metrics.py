@@ -1,6 +1,7 @@
 """Golden rows and differential tests of text functions and metrics."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +164,29 @@ def test_bit_distance_of_long_sequences(monkeypatch):
     assert distance.bit_distance(text, text.replace("e", "¤")) == text.count("e")
     assert distance.bit_distance(text.replace("c", ""), text) == text.count("c")
     assert distance.bit_distance(text.split(), [w.replace("e", "¤") for w in text.split()]) == sum("e" in w for w in text.split())
+
+
+def test_aksharas_of_whole_texts_are_those_of_the_pattern():
+    rng = random.Random(21)
+    pattern, gone = re.compile(X.AKSHARA), str.maketrans("", "", X.ZERO_WIDTH)
+    for _ in range(3000):
+        t = "".join(rng.choice("कखग़ऩ़़््ािॉअआॐ१ a,‍😀ठथ॑ंxक़\n") for _ in range(rng.randint(0, 14)))
+        units = pattern.findall(t.translate(gone))
+        assert X.joined_aksharas(t) == "\x1f".join(units)
+        assert X.joined_aksharas(t, fold=True) == "\x1f".join(units).translate(str.maketrans(X.DEVANAGARI_DIGITS, X.LATIN_DIGITS))
+
+
+def test_spaces_are_the_listed_ones(spark):
+    signs = spark.range(1, 0x11000).filter("id < 55296 OR id > 57343").select("id", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("s"))
+    listed, looked = F.col("s").rlike(f"^{X.WHITESPACE}$"), F.col("s").rlike(f"(?U)^{X.SPACES}$")
+    assert signs.filter(listed != looked).count() == 0 and signs.filter(looked).count() == 29
+
+
+def test_syllables_cross_to_python_once(spark):
+    """As joined texts they cost the JVM more than the distances, and four times the bytes, both ways."""
+    rows = spark.createDataFrame([(1, "कि १ख", ["कि 1ख", None, ""]), (2, "", ["‍"]), (3, "‍", [""]), (4, "क", [])], "i int, output string, references array<string>")
+    out = score_texts(rows, ["acer", "akshara_accuracy", "akshara_accuracy_digitfold"], ok=None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan.lower()
+    got = {r.i: (r.acer, r.akshara_accuracy, r.akshara_accuracy_digitfold) for r in out.collect()}
+    assert got == {1: (pytest.approx(0.25), 0.75, 1.0), 2: (0.0, 1.0, 1.0), 3: (0.0, 1.0, 1.0), 4: (1.0, 0.0, 0.0)}
