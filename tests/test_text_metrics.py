@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import distance, names
 from scorelake.functions import text as X
 from scorelake.functions.metrics import metric, metric_names, register_metric, score_texts
+from scorelake.plans.evaluation import BenchmarkSpec, evaluate
 
 
 def one(spark, value, fn):
@@ -190,3 +191,9 @@ def test_syllables_cross_to_python_once(spark):
     assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan.lower()
     got = {r.i: (r.acer, r.akshara_accuracy, r.akshara_accuracy_digitfold) for r in out.collect()}
     assert got == {1: (pytest.approx(0.25), 0.75, 1.0), 2: (0.0, 1.0, 1.0), 3: (0.0, 1.0, 1.0), 4: (1.0, 0.0, 0.0)}
+
+
+def test_scored_rows_are_written_without_references(spark):
+    log = spark.createDataFrame([("a", "1", 0, True, "x", ["x"]), ("a", "2", 0, True, "y", ["z"])], "run_key string, sample_id string, seq int, ok boolean, output string, references array<string>")
+    results, scored = evaluate(BenchmarkSpec("t", "exact_match", ("exact_match",), postprocess=False), log, replicates=10)
+    assert "references" not in scored.columns and results.head().metrics["exact_match"].value == 0.5
