@@ -56,9 +56,10 @@ def _each(fn):
 
 
 _STAGES: dict[str, tuple[tuple[str, ...], Callable[[], dict[str, Column]]]] = {
-    "canon": ((), lambda: {
-        "_p_canon": X.canonical(F.col("_pred")),
-        "_r_canon": _each(X.canonical)(F.col("_refs1"))}),
+    "p_canon": ((), lambda: {"_p_canon": X.canonical(F.col("_pred"))}),
+    # Most right answers are copies of a reference: those are made canonical once.
+    "canon": (("p_canon",), lambda: {
+        "_r_canon": _each(lambda r: F.when(r == F.col("_pred"), F.col("_p_canon")).otherwise(X.canonical(r)))(F.col("_refs1"))}),
     "loose": ((), lambda: {
         "_p_loose": X.loose(F.col("_pred")), "_r_loose": _each(X.loose)(F.col("_refs1"))}),
     "lower": ((), lambda: {
