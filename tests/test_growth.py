@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scorelake.functions import names
 from scorelake.operators import board, publish
 
 
@@ -24,6 +25,15 @@ def test_import_counts_equal_the_status_of_every_entry_in_one_pass(spark):
     assert _plan(out).count("reason#") and "Window" not in _plan(out) and "Union" not in _plan(out)
 
 
+def test_dates_are_read_as_by_trying_every_format(spark):
+    texts = ["2026-01-02", " 2026/03/04 ", "20260506", "20260506112233", "someday", "", None, "2026-1-2", "2026/1/2", "+12026-01-02", "-0044-03-15", "2026-02-30", "2026-01-02T03:04:05Z",
+             "2026-01-02 03:04:05+02:00", "1/2", "12/31/2026", "2026011", "\u0662\u0660\u0662\u0666-01-02", "2026-01-02/"]
+    text = F.trim("t")
+    tried = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in names.DATE_FORMATS], F.when(text.rlike(names.FULL_DATE), text.try_cast("timestamp")))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~names.parse_date(F.col("t")).eqNullSafe(tried)).collect() == []
+
+
 def test_listings_pick_representatives_without_their_metrics(spark):
     results = spark.range(20).select(
         (F.col("id") % 3).cast("string").alias("benchmark_id"), (F.col("id") % 4).cast("string").alias("model_id"), F.col("id").cast("string").alias("run_id"),
