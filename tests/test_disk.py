@@ -63,3 +63,10 @@ def test_prices_meet_all_results_only_where_they_filter(spark):
         joins[name] = picked._jdf.queryExecution().optimizedPlan().toString().count("Join ")
         assert {r.model_id for r in picked.collect()} == ({"m1", "m2"} if name == "all" else {"m1"})
     assert joins["all"] == joins["cheap"] - 1
+
+
+def test_parts_hold_every_row_once(spark):
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(["a", "b", None, "a", None, "c", "d", "e"])], "k string, i int")
+    found = [[r.i for r in part.collect()] for part in session.parts(df, "k")]
+    assert sorted(i for p in found for i in p) == list(range(8)) and len([p for p in found if p]) > 1
+    assert any({0, 3} <= set(p) for p in found) and any({2, 4} <= set(p) for p in found)
