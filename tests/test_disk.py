@@ -5,9 +5,10 @@ import time
 
 from pyspark.sql import functions as F
 
-from scorelake import session
-from scorelake.operators import board
+from scorelake import schemas, session
+from scorelake.operators import board, kv, publish
 from scorelake.operators import predictions as P
+from scorelake.sources import readers
 from scorelake.streaming import jobs
 from tests.test_boards import frame, result
 from tests.test_ingest import result_line
@@ -70,3 +71,25 @@ def test_parts_hold_every_row_once(spark):
     found = [[r.i for r in part.collect()] for part in session.parts(df, "k")]
     assert sorted(i for p in found for i in p) == list(range(8)) and len([p for p in found if p]) > 1
     assert any({0, 3} <= set(p) for p in found) and any({2, 4} <= set(p) for p in found)
+
+
+def test_publishing_leaves_the_store_and_the_statuses(spark, tmp_path):
+    lines = [result_line("r1", "m1", 1.0), result_line("r2", "m1", 2.0), result_line("r2", "m1", 2.0), result_line("r3", "m1", 3.0), result_line("r3", "m1", 4.0), result_line("r4", "m1", 1.0, cases=-1)]
+    (tmp_path / "in.json").write_text("\n".join(lines))
+    rows = spark.read.schema(schemas.RESULT).json(str(tmp_path / "in.json"))
+    want = [("r1", "published"), ("r2", "published"), ("r2", "unchanged"), ("r3", "conflict"), ("r3", "conflict"), ("r4", "invalid")]
+    again = [(i, "unchanged" if s == "published" else s) for i, s in want]
+    for expected in (want, again):
+        before = _scratch(spark)
+        out = publish.publish(rows, str(tmp_path / "store"))
+        assert len(_scratch(spark) - before) == 1
+        assert sorted((r.run_id, r.status) for r in out.collect()) == expected
+    assert sorted(r.run_id for r in readers.result_store(spark, str(tmp_path / "store"))[0].collect()) == ["r1", "r2"]
+
+
+def test_key_value_scores_are_made_by_parts_of_the_samples(spark):
+    samples = spark.createDataFrame([(str(i), i != 5, f'{{"a": "{i}", "b": "x"}}') for i in range(12)] + [(None, True, "{}")], "sample_id string, ok boolean, output string")
+    fields = spark.createDataFrame([(str(i), "a", str(i)) for i in range(12)], "sample_id string, key string, value string")
+    out = kv.score_kv(samples, fields)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.sample_id: (r.kv_recall, r.kv_precision) for r in out.collect()} == {**{str(i): (1.0, 0.5) if i != 5 else (0.0, 0.0) for i in range(12)}, None: (1.0, 0.0)}
