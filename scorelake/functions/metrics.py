@@ -60,8 +60,12 @@ _STAGES: dict[str, tuple[tuple[str, ...], Callable[[], dict[str, Column]]]] = {
     # Most right answers are copies of a reference: those are made canonical once.
     "canon": (("p_canon",), lambda: {
         "_r_canon": _each(lambda r: F.when(r == F.col("_pred"), F.col("_p_canon")).otherwise(X.canonical(r)))(F.col("_refs1"))}),
-    "loose": ((), lambda: {
-        "_p_loose": X.loose(F.col("_pred")), "_r_loose": _each(X.loose)(F.col("_refs1"))}),
+    "spaced": ((), lambda: {"_p_spaced": X.spaced(F.col("_pred"))}),
+    "p_loose": (("spaced",), lambda: {
+        "_p_loose": X.casefold(F.col("_p_spaced")),
+        "_r_spaced": _each(lambda r: F.when(r == F.col("_pred"), F.col("_p_spaced")).otherwise(X.spaced(r)))(F.col("_refs1"))}),
+    "loose": (("p_loose",), lambda: {
+        "_r_loose": _each(lambda r: F.when(r == F.col("_p_spaced"), F.col("_p_loose")).otherwise(X.casefold(r)))(F.col("_r_spaced"))}),
     "lower": ((), lambda: {
         "_p_lower": X.collapse(F.lower("_pred")),
         "_r_lower": _each(lambda r: X.collapse(F.lower(r)))(F.col("_refs1"))}),

@@ -19,6 +19,7 @@ NOT_BLANK = "(?U)[^\\s\\x1c-\\x1f]"
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
 LATIN_DIGITS = "0123456789"
 PUNCTUATION = "[\\p{P}\\u0964\\u0965\\u0970]"
+SPACES_AND_PUNCTUATION = "(?U)[\\s\\x1c-\\x1f\\p{P}\\u0964\\u0965\\u0970]+"
 CONSONANT = "[\\u0915-\\u0939\\u0958-\\u095f]"
 MARK = "[\\u0900-\\u0903\\u093a\\u093b\\u093e-\\u094c\\u094e\\u094f\\u0951-\\u0957\\u0962\\u0963]"
 VOWEL = "[\\u0904-\\u0914\\u0960\\u0961\\u0972-\\u097f]"
@@ -72,10 +73,16 @@ def strip_zero_width(c: Column) -> Column:
     return F.translate(c, ZERO_WIDTH, "")
 
 
+def spaced(c: Column) -> Column:
+    """Canonical text without zero-width characters and punctuation. A run of spaces and punctuation, however mixed,
+    ends as one space: one pass over the text."""
+    return F.trim(F.regexp_replace(strip_zero_width(nfc(c)), SPACES_AND_PUNCTUATION, " "))
+
+
 def loose(c: Column) -> Column:
-    """Canonical text without zero-width characters, punctuation and case."""
-    spaced = F.regexp_replace(strip_zero_width(canonical(c)), PUNCTUATION, " ")
-    return casefold(collapse(spaced))
+    """Canonical text without zero-width characters, punctuation and case. ``casefold`` mentions its text several times
+    and Spark makes each mention anew inside lambdas: there, let it read a column or variable that holds ``spaced``."""
+    return casefold(spaced(c))
 
 
 def fold_digits(c: Column) -> Column:

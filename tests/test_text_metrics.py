@@ -197,3 +197,19 @@ def test_scored_rows_are_written_without_references(spark):
     log = spark.createDataFrame([("a", "1", 0, True, "x", ["x"]), ("a", "2", 0, True, "y", ["z"])], "run_key string, sample_id string, seq int, ok boolean, output string, references array<string>")
     results, scored = evaluate(BenchmarkSpec("t", "exact_match", ("exact_match",), postprocess=False), log, replicates=10)
     assert "references" not in scored.columns and results.head().metrics["exact_match"].value == 0.5
+
+
+def test_loose_text_is_made_in_one_pass(spark):
+    """As by collapsing spaces, dropping punctuation and collapsing again, for every sign and for mixed runs of them."""
+    rng = random.Random(5)
+    odd = " \t\n\x0b\x1c\x1f\x85\xa0   　.,-_!?।॥॰​‌﻿⁠aBßİİΣé́क$+<"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(400)] + [f"A{chr(i)}b{chr(i)} {chr(i)}" for i in range(0x3100) if not 0xD800 <= i < 0xE000] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    spaced = F.regexp_replace(X.strip_zero_width(X.canonical(F.col("t"))), X.PUNCTUATION, " ")
+    assert df.filter(~X.loose(F.col("t")).eqNullSafe(X.casefold(X.collapse(spaced)))).collect() == []
+    assert str(X.spaced(F.col("t"))._jc).count("regexp_replace") == 1
+    # Each side of a scored pair is made once, not once for every mention of it.
+    pairs = df.select(F.col("t").alias("output"), F.array(F.lit("x"), F.upper("t"), "t").alias("references"))
+    scored = score_texts(pairs, ["loose_match", "wer_loose"], ok=None)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("(?U)[") == 2
+    assert scored.filter((F.col("output").isNotNull()) & (F.col("loose_match") < 1)).collect() == []
